@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from papyrine.llm import runtime
 
 #: Unicode White_Space, spelled out: Java's \s is ASCII only.
-_S = r"\t-\r \x85\xa0  -     　"
+_S = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The byte-level pre-tokenizer's pattern (a fixed value of the public vocabulary).
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 #: Distinct words that a worker remembers; beyond it the table starts anew.

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from papyrine.llm import bpe
+from papyrine.llm import bpe, fingerprint, simhash
 
 
 def queries() -> dict:
     return {
         "op1_bpe": bpe.op1_bpe,
+        "op5_simhash": simhash.op5_simhash,
+        "op10_fingerprint": fingerprint.op10_fingerprint,
     }
 
 
