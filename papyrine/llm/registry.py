@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from papyrine.llm import bpe, fingerprint, simhash
+from papyrine.llm import bpe, fingerprint, simhash, urlfilter
 
 
 def queries() -> dict:
     return {
         "op1_bpe": bpe.op1_bpe,
+        "op2_url_filter": urlfilter.op2_url_filter,
         "op5_simhash": simhash.op5_simhash,
         "op10_fingerprint": fingerprint.op10_fingerprint,
     }
