@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from papyrine.llm import bpe, fingerprint, simhash, urlfilter
+from papyrine.llm import bpe, fingerprint, quality, simhash, urlfilter
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_bpe": bpe.op1_bpe,
         "op2_url_filter": urlfilter.op2_url_filter,
         "op5_simhash": simhash.op5_simhash,
+        "op7_quality": quality.op7_quality,
         "op10_fingerprint": fingerprint.op10_fingerprint,
     }
 
