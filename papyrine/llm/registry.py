@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from papyrine.llm import bpe, fingerprint, langid, quality, simhash, urlfilter
+from papyrine.llm import bpe, fingerprint, fmindex, langid, quality, simhash, suffixes, urlfilter
 
 
 def queries() -> dict:
@@ -12,6 +12,8 @@ def queries() -> dict:
         "op4_language": langid.op4_language,
         "op5_simhash": simhash.op5_simhash,
         "op7_quality": quality.op7_quality,
+        "op8_substrings": fmindex.op8_substrings,
+        "op9_suffixes": suffixes.op9_suffixes,
         "op10_fingerprint": fingerprint.op10_fingerprint,
     }
 

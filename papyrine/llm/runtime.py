@@ -58,14 +58,18 @@ def release(*dfs: DataFrame) -> None:
             p.getFileSystem(df.sparkSession._jsc.sc().hadoopConfiguration() if hasattr(df.sparkSession, "_jsc") else df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def attach(big: DataFrame, small: DataFrame, key: str, rows: int, row_bytes: int, how: str = "left", salts: int = 16) -> DataFrame:
+def attach(big: DataFrame, small: DataFrame, key: str | list[str], rows: int, row_bytes: int, how: str = "left", salts: int = 16) -> DataFrame:
     """Joins big to small, which has `rows` rows, one for each key.
 
     small is broadcast if its counted size is within BROADCAST_BYTES. Otherwise keys of big are salted, so that one
-    key with a third of all rows is dealt to `salts` tasks, and small is repeated once for each salt.
+    key with a third of all rows is dealt to `salts` tasks, and small is repeated once for each salt. salts=1 is for keys
+    that no large part of the rows can share.
     """
+    keys = [key] if isinstance(key, str) else key
     if rows * row_bytes <= BROADCAST_BYTES:
-        return big.join(F.broadcast(small), key, how)
+        return big.join(F.broadcast(small), keys, how)
+    if salts == 1:
+        return big.join(small, keys, how)
     spread = big.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.lit(salts)).cast("int"))
     copies = small.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    return spread.join(copies, [key, "_salt"], how).drop("_salt")
+    return spread.join(copies, [*keys, "_salt"], how).drop("_salt")
