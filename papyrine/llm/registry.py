@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from papyrine.llm import bpe, fingerprint, fmindex, langid, quality, simhash, suffixes, urlfilter
+from papyrine.llm import bpe, fingerprint, fmindex, langid, mixing, quality, simhash, suffixes, urlfilter
 
 
 def queries() -> dict:
     return {
         "op1_bpe": bpe.op1_bpe,
         "op2_url_filter": urlfilter.op2_url_filter,
+        "op3_mixing": mixing.op3_mixing,
         "op4_language": langid.op4_language,
         "op5_simhash": simhash.op5_simhash,
         "op7_quality": quality.op7_quality,
