@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from papyrine.llm import bpe, fingerprint, fmindex, langid, mixing, quality, simhash, suffixes, urlfilter
+from papyrine.llm import bpe, embeddings, fingerprint, fmindex, langid, mixing, quality, simhash, suffixes, urlfilter
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_mixing": mixing.op3_mixing,
         "op4_language": langid.op4_language,
         "op5_simhash": simhash.op5_simhash,
+        "op6_embeddings": embeddings.op6_embeddings,
         "op7_quality": quality.op7_quality,
         "op8_substrings": fmindex.op8_substrings,
         "op9_suffixes": suffixes.op9_suffixes,
