@@ -189,15 +189,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS)
     return x, rows["label"].to_numpy()
 
 
-def classify(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
-    """The columns named, score and predicted of every document."""
+def classify(docs: DataFrame, model: Model, columns: list[str], names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """The columns named, the score and the prediction (in columns `names`) of every document."""
     runtime.prepare(docs.sparkSession)
-    schema = T.StructType([docs.schema[c] for c in columns] + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    schema = T.StructType([docs.schema[c] for c in columns] + [T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score = model.score(features(batch.column("text").to_pylist()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(score), pa.array((score >= CUT).astype(np.int32))], names=[*columns, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(score), pa.array((score >= CUT).astype(np.int32))], names=[*columns, *names])
 
     return docs.select(*dict.fromkeys([*columns, "text"])).mapInArrow(blocks, schema)
 

@@ -174,6 +174,18 @@ def near_duplicates(docs: DataFrame, width: int = 3, id_col: str = "doc_id", tex
     return marked, groups, n
 
 
+def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
+    """docs less all but one document of each component: the one with the smallest id stays (of equal ids, one)."""
+    tag = "_fp"
+    marked, groups, n = near_duplicates(docs, width)
+    rows = with_fingerprint(docs, width, name=tag)
+    rows = attach(rows, groups.select(F.col("fp").alias(tag), F.col("component").alias("_component")), tag, n, 40)
+    kept = rows.where("doc_id <=> _component").drop(tag, "_component")
+    ids = marked.join(groups.select("component").where("component is not null").distinct(), F.col("doc_id") == F.col("component"), "left_semi")
+    ties = ids.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() or marked.where("doc_id is null").limit(2).count() > 1
+    return kept.dropDuplicates(["doc_id"]) if ties else kept
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = runtime.table(spark, sf_dir, "documents")
     marked, groups, n = near_duplicates(docs)
