@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papyrine.llm import runtime
-from papyrine.llm.runtime import attach, materialize, release
+from papyrine.llm.runtime import attach, attach_counted, materialize, release
 
 #: Units that are hashed at a time; a longer text is taken in overlapping pieces, cut between windows.
 BLOCK = 1 << 20
@@ -257,7 +257,7 @@ Judge = Callable[[list[bytes], np.ndarray, np.ndarray], list[np.ndarray]]
 
 
 def verdicts(contents: DataFrame, kind, judge: Judge, shard: int) -> DataFrame:
-    """route, content, marks (a bit for each window, packed) of contents with repeated windows."""
+    """route, content, copies, marks (a bit for each window, packed) of contents with repeated windows."""
 
     def finish(routes: np.ndarray, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         content, copies, bodies = (list(x) for x in zip(*rows, strict=True))
@@ -269,7 +269,7 @@ def verdicts(contents: DataFrame, kind, judge: Judge, shard: int) -> DataFrame:
         some = [(k, m) for k, m in zip(own.tolist(), marks, strict=True) if m.any()]
         if some:
             at = [k for k, _ in some]
-            yield pa.RecordBatch.from_arrays([pa.array(routes[at]), pa.array([content[k] for k in at]), pa.array([np.packbits(m, bitorder="little").tobytes() for _, m in some], pa.binary())], names=["route", "content", "marks"])
+            yield pa.RecordBatch.from_arrays([pa.array(routes[at]), pa.array([content[k] for k in at]), pa.array(copies[at]), pa.array([np.packbits(m, bitorder="little").tobytes() for _, m in some], pa.binary())], names=["route", "content", "copies", "marks"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, routes, size = [], [], 0
@@ -286,7 +286,7 @@ def verdicts(contents: DataFrame, kind, judge: Judge, shard: int) -> DataFrame:
             yield from finish(np.array(routes), rows)
 
     dealt = contents.repartition("route").sortWithinPartitions("route", "content")
-    return dealt.mapInArrow(run, "route long, content long, marks binary")
+    return dealt.mapInArrow(run, "route long, content long, copies long, marks binary")
 
 
 def spans(found: DataFrame, length: int) -> DataFrame:
@@ -320,7 +320,7 @@ def repeated_spans(docs: DataFrame, kind, judge: Judge, shard: int, crowd: int =
     contents = found.groupBy("route", "content").agg(F.count("*").alias("copies"), F.first("body", ignorenulls=True).alias("body"))
     marks = materialize(verdicts(contents, kind, judge, shard), "marks")
     size, width = marks.agg(F.count("*"), F.avg(F.length("marks"))).first()
-    own = attach(found.drop("body", "count"), marks, ["route", "content"], size, 60 + int(width or 0), "inner")
+    own = attach_counted(found.drop("body", "count"), marks, ["route", "content"], size, 60 + int(width or 0))
     out = materialize(spans(own.select("key", "first", "marks"), kind.length), "spans")
     size, width = out.agg(F.count("*"), F.avg(F.length("spans"))).first()
     release(seen, found, marks)

@@ -73,3 +73,21 @@ def attach(big: DataFrame, small: DataFrame, key: str | list[str], rows: int, ro
     spread = big.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.lit(salts)).cast("int"))
     copies = small.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
     return spread.join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
+def attach_counted(big: DataFrame, small: DataFrame, keys: list[str], rows: int, row_bytes: int, often: int = 20_000) -> DataFrame:
+    """Inner join of big to small, one row for each key, whose column `copies` says how many rows of big have the key.
+
+    small is broadcast if its counted size allows. Otherwise keys with over `often` rows, at most one for each `often` rows
+    of big, are joined by broadcast, and the rest, of bounded size each, by shuffle; nothing is repeated.
+    """
+    if rows * row_bytes <= BROADCAST_BYTES:
+        return big.join(F.broadcast(small.drop("copies")), keys, "inner")
+    hot, cold = small.where(F.col("copies") > often).drop("copies"), small.where(F.col("copies") <= often).drop("copies")
+    n = hot.count()
+    if not n:
+        return big.join(cold, keys, "inner")
+    if n * row_bytes > BROADCAST_BYTES:
+        return attach(big, small.drop("copies"), keys, rows, row_bytes, "inner")
+    rest = big.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, "inner")
+    return big.join(F.broadcast(hot), keys, "inner").unionByName(rest)

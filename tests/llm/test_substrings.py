@@ -89,8 +89,10 @@ def test_windows_are_dealt_once():
             assert got == [k for a, b in zip(bounds[:-1], bounds[1:]) for k in range(a, b - kind.length + 1)]
 
 
-@pytest.mark.parametrize("crowd", [2000, 3])
-def test_words(spark, crowd):
+@pytest.mark.parametrize("crowd,limit", [(2000, None), (3, 0)])
+def test_words(spark, monkeypatch, crowd, limit):
+    if limit is not None:
+        monkeypatch.setattr("papyrine.llm.runtime.BROADCAST_BYTES", limit)
     t = texts(many=True)
     df = spark.createDataFrame([(i, x, "s") for i, x in enumerate(t)], "doc_id long, text string, key string")
     got = {r.doc_id: r.s for r in anchors.with_spans(df, Words, fmindex.judge, 5000, "s", crowd).collect()}
@@ -138,3 +140,14 @@ def test_queries(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/empty/documents.parquet")
     assert fmindex.op8_substrings(spark, f"{tmp_path}/empty").count() == suffixes.op9_suffixes(spark, f"{tmp_path}/empty").count() == 0
     assert fmindex.dedup(df.where(F.lit(False))).count() == 0
+
+
+@pytest.mark.parametrize("limit", [0, 150, 1 << 20])
+def test_counted_join(spark, monkeypatch, limit):
+    monkeypatch.setattr("papyrine.llm.runtime.BROADCAST_BYTES", limit)
+    big = spark.createDataFrame([(k % 7 if k < 60 else 9, k) for k in range(100)], "a long, b long")
+    small = big.groupBy("a").agg(F.count("*").alias("copies")).where("a != 3").withColumn("x", F.col("a") * 2)
+    from papyrine.llm.runtime import attach_counted
+
+    got = attach_counted(big, small, ["a"], 7, 100, often=20)
+    assert sorted(tuple(r) for r in got.select("a", "b", "x").collect()) == sorted((a, b, 2 * a) for a, b in ((k % 7 if k < 60 else 9, k) for k in range(100)) if a != 3)
