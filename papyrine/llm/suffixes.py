@@ -25,7 +25,7 @@ from papyrine.llm import runtime
 from papyrine.llm.anchors import Bytes, unpack, with_spans
 
 #: Bytes that reach a task's judge at once, and bytes of one suffix array.
-TASK, SHARD = 8 << 20, 2 << 20
+TASK, SHARD = 3 << 20, 1 << 20
 WINDOW = Bytes.length
 LANE = 64
 
