@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: White space that separates words (fixed values).
-SPACES = " \t\n\r              　"
-BOX = [F.min, F.min, F.max, F.max]
-
 
 def box():
     return [f(c).alias(c) for f, c in zip((F.min, F.min, F.max, F.max), ("x0", "y0", "x1", "y1"), strict=True)]

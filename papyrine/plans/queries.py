@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrine.operators import frames
+from papyrine.functions import geometry, text
+from papyrine.operators import exports, frames, markdown, order, render, search, spatial, statistics
 from papyrine.plans import layout, oracle
 from papyrine.sources import typeset
+from papyrine.streaming import islands
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -61,3 +63,584 @@ def w14_spans(spark, sf_dir):
   CAST(row_number() OVER (PARTITION BY doc, page, pline ORDER BY gidx) - 1 AS INTEGER) AS char, x0, y0, x1, y1, c AS text, font, size, CAST(0 AS BIGINT) AS color, px AS origin_x, py AS origin_y FROM chars"""))
 def k01_chars(spark, sf_dir):
     return frames.char_frame(chars(spark, sf_dir))
+
+
+WORDS = oracle.WORDS
+LINES, BLOCKS, SPANS = oracle.LINES, oracle.BLOCKS, oracle.SPANS
+
+
+def words(spark, sf_dir):
+    return frames.words(chars(spark, sf_dir))
+
+
+_HYPHENS = """
+marked AS (
+  SELECT *, coalesce(lag(regexp_matches(text, '\\p{L}-$')) OVER w AND word = 0 AND lag(line) OVER w = line - 1, false) AS joins
+  FROM words WINDOW w AS (PARTITION BY doc, page, block ORDER BY line, word)
+),
+chained AS (
+  SELECT *, sum((NOT joins)::INT) OVER (PARTITION BY doc, page, block ORDER BY line, word ROWS UNBOUNDED PRECEDING) AS g,
+    coalesce(lead(joins) OVER (PARTITION BY doc, page, block ORDER BY line, word), false) AS goes_on
+  FROM marked
+)"""
+
+
+@query(
+    "w16_dehyphenated_words",
+    oracle.on_chars(
+        """SELECT doc, page, block, arg_min(line, (line, word)) AS line, arg_min(word, (line, word)) AS word, arg_min(x0, (line, word)) AS x0, arg_min(y0, (line, word)) AS y0,
+  arg_min(x1, (line, word)) AS x1, arg_min(y1, (line, word)) AS y1, string_agg(CASE WHEN goes_on THEN text[:-2] ELSE text END, '' ORDER BY line, word) AS text
+FROM chained GROUP BY doc, page, block, g""",
+        WORDS,
+        _HYPHENS,
+    ),
+)
+def w16_dehyphenated_words(spark, sf_dir):
+    return frames.dehyphenated_words(words(spark, sf_dir))
+
+
+@query(
+    "a03_dehyphenated_blocks",
+    oracle.on_chars(
+        """SELECT doc, page, block, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1,
+  string_agg(CASE WHEN length(text) > 1 AND regexp_matches(text, '\\p{L}-$') THEN text[:-2] ELSE text || chr(10) END, '' ORDER BY line) AS text FROM lines GROUP BY doc, page, block""",
+        LINES,
+    ),
+)
+def a03_dehyphenated_blocks(spark, sf_dir):
+    return frames.blocks(chars(spark, sf_dir), dehyphenate=True)
+
+
+@query("a02_page_text", oracle.on_chars("SELECT doc, page, string_agg(text, chr(10) ORDER BY block) AS text FROM blocks GROUP BY doc, page", LINES, BLOCKS))
+def a02_page_text(spark, sf_dir):
+    return frames.page_text(chars(spark, sf_dir))
+
+
+@query(
+    "k08_doc_text",
+    oracle.on_chars("SELECT doc, string_agg(text, chr(12) ORDER BY page) AS text FROM (SELECT doc, page, string_agg(text, chr(10) ORDER BY block) AS text FROM blocks GROUP BY doc, page) GROUP BY doc", LINES, BLOCKS),
+)
+def k08_doc_text(spark, sf_dir):
+    return frames.doc_text(chars(spark, sf_dir))
+
+
+CLIP = (100.0, 90.0, 400.0, 420.0)
+
+
+@query(
+    "p01_clip_words",
+    oracle.sql(
+        "SELECT * FROM words",
+        oracle.GLYPHS,
+        "clipped AS (SELECT * FROM glyphs WHERE qx >= 100 AND px <= 400 AND py - (-0.2)::DOUBLE * size >= 90 AND py - 0.8::DOUBLE * size <= 420)",
+        oracle.chars("clipped"),
+        WORDS,
+    ),
+)
+def p01_clip_words(spark, sf_dir):
+    return frames.words(layout.group_glyphs(layout.clip(glyphs(spark, sf_dir), CLIP)))
+
+
+@query(
+    "p07_rotated_words",
+    oracle.on_chars(
+        """SELECT doc, page, block, line, word, text, least(ax, bx) AS x0, least(ay, by_) AS y0, greatest(ax, bx) AS x1, greatest(ay, by_) AS y1 FROM (
+  SELECT doc, page, block, line, word, text,
+    CASE doc % 4 WHEN 1 THEN 1200.0::DOUBLE - y0 WHEN 2 THEN 720.0::DOUBLE - x0 WHEN 3 THEN y0 ELSE x0 END AS ax, CASE doc % 4 WHEN 1 THEN x0 WHEN 2 THEN 1200.0::DOUBLE - y0 WHEN 3 THEN 720.0::DOUBLE - x0 ELSE y0 END AS ay,
+    CASE doc % 4 WHEN 1 THEN 1200.0::DOUBLE - y1 WHEN 2 THEN 720.0::DOUBLE - x1 WHEN 3 THEN y1 ELSE x1 END AS bx, CASE doc % 4 WHEN 1 THEN x1 WHEN 2 THEN 1200.0::DOUBLE - y1 WHEN 3 THEN 720.0::DOUBLE - x1 ELSE y1 END AS by_
+  FROM words)""",
+        WORDS,
+    ),
+)
+def p07_rotated_words(spark, sf_dir):
+    return geometry.rotate(words(spark, sf_dir), F.pmod(F.col("doc"), F.lit(4)) * 90, typeset.PAGE_WIDTH, typeset.PAGE_HEIGHT)
+
+
+@query(
+    "x05_delimited_words",
+    oracle.on_chars(
+        "SELECT * FROM words",
+        """
+cutting AS (
+  SELECT * EXCLUDE (pword), sum((head OR gap OR cut OR coalesce(before, false))::INT) OVER (PARTITION BY doc, page ORDER BY gidx ROWS UNBOUNDED PRECEDING) AS pword
+  FROM (SELECT *, c IN ('.', ',') AS cut, lag(c IN ('.', ',')) OVER (PARTITION BY doc, page ORDER BY gidx) AS before FROM chars)
+)""",
+        WORDS.replace("FROM chars GROUP BY ALL", "FROM cutting WHERE NOT cut GROUP BY ALL"),
+    ),
+)
+def x05_delimited_words(spark, sf_dir):
+    return frames.words(chars(spark, sf_dir), ".,")
+
+
+@query(
+    "w06_overprints",
+    oracle.sql(
+        "SELECT doc, page, count(*) AS n, count(DISTINCT block) AS blocks, max(pword) + 1 AS words FROM chars GROUP BY doc, page",
+        oracle.GLYPHS,
+        oracle.chars(),
+    ),
+)
+def w06_overprints(spark, sf_dir):
+    """Every glyph is printed twice, half a point apart; dropping the second leaves the page as it was."""
+    g = glyphs(spark, sf_dir)
+    twice = g.withColumn("_k", F.explode(F.array(F.lit(0), F.lit(1)))).withColumns({"gidx": F.col("gidx") * 2 + F.col("_k"), "px": F.col("px") + F.col("_k") * 0.5, "qx": F.col("qx") + F.col("_k") * 0.5})
+    own = layout.group_glyphs(layout.drop_overprints(twice.drop("_k")))
+    return own.groupBy("doc", "page").agg(F.count("*").alias("n"), F.countDistinct("block").alias("blocks"), (F.max("pword") + 1).alias("words"))
+
+
+@query("o02_sort_simple", oracle.on_chars("SELECT *, CAST(row_number() OVER (PARTITION BY doc, page ORDER BY y1, x0, block) - 1 AS INTEGER) AS place FROM blocks", LINES, BLOCKS))
+def o02_sort_simple(spark, sf_dir):
+    return order.simple(frames.blocks(chars(spark, sf_dir)))
+
+
+@query(
+    "o06_sort_by_rows",
+    oracle.on_chars("SELECT *, CAST(row_number() OVER (PARTITION BY doc, page ORDER BY round_even(y0 / 1.25::DOUBLE, 0) * 1.25::DOUBLE, x0, block) - 1 AS INTEGER) AS place FROM blocks", LINES, BLOCKS),
+)
+def o06_sort_by_rows(spark, sf_dir):
+    return order.rows_by_tolerance(frames.blocks(chars(spark, sf_dir)))
+
+
+@query(
+    "o05_sort_by_structure",
+    oracle.on_chars(
+        """SELECT r.doc, r.page, r.block, coalesce(s.block, r.block) AS place, r.text FROM ranked r LEFT JOIN ranked s ON r.doc = s.doc AND r.page = s.page AND r.rank IS NOT NULL AND s.rank IS NOT NULL AND r.by_rank = s.slot""",
+        LINES,
+        BLOCKS,
+        """
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY doc, page, rank IS NOT NULL ORDER BY block) AS slot, row_number() OVER (PARTITION BY doc, page, rank IS NOT NULL ORDER BY rank, block) AS by_rank
+  FROM (SELECT *, CASE WHEN block % 2 = 1 THEN -block END AS rank FROM blocks)
+)""",
+    ),
+)
+def o05_sort_by_structure(spark, sf_dir):
+    """Odd blocks have a rank, from last to first; they trade places among themselves."""
+    b = frames.blocks(chars(spark, sf_dir)).withColumn("rank", F.when(F.col("block") % 2 == 1, -F.col("block")))
+    return order.by_rank(b).select("doc", "page", "block", "place", "text")
+
+
+@query("o03_xy_cut")
+def o03_xy_cut(spark, sf_dir):
+    """Two columns: every other block is moved to the right."""
+    b = frames.blocks(chars(spark, sf_dir))
+    side = F.when(F.col("block") % 2 == 1, 500.0).otherwise(0.0)
+    return order.xy_cut(b.withColumns({"x0": F.col("x0") + side, "x1": F.col("x1") + side}).drop("text"))
+
+
+_SIZES = """
+weights AS (
+  SELECT doc, round_even(size * 2, 0) / 2 AS size, length(regexp_replace(text, '^[ \\t\\n\\r\\f\\x0B]+|[ \\t\\n\\r\\f\\x0B]+$', '', 'g')) AS n, (page, block, line, span) AS place FROM spans
+),
+histogram AS (SELECT doc, size, sum(n) AS n, min(place) AS place FROM weights WHERE n > 0 GROUP BY doc, size),
+bodies AS (SELECT doc, size AS body, n FROM histogram QUALIFY row_number() OVER (PARTITION BY doc ORDER BY n DESC, place) = 1)"""
+
+
+@query("a04_body_size", oracle.on_chars("SELECT doc, body, CAST(n AS BIGINT) AS n FROM bodies", SPANS, _SIZES))
+def a04_body_size(spark, sf_dir):
+    return statistics.body_size(statistics.size_histogram(frames.spans(chars(spark, sf_dir))))
+
+
+@query(
+    "a05_heading_levels",
+    oracle.on_chars(
+        """SELECT doc, size, CAST(level AS INTEGER) AS level FROM (SELECT doc, size, sum(step) OVER (PARTITION BY doc ORDER BY size DESC ROWS UNBOUNDED PRECEDING) AS level FROM (
+  SELECT doc, size, coalesce(size < lag(size) OVER (PARTITION BY doc ORDER BY size DESC) * 0.95::DOUBLE, true)::INT AS step FROM (
+    SELECT h.doc, h.size, h.n, body, sum(h.n) OVER (PARTITION BY h.doc) AS total FROM histogram h JOIN bodies b ON h.doc = b.doc)
+  WHERE size >= body * 1.15::DOUBLE AND n / total < 0.2)) WHERE level <= 4""",
+        SPANS,
+        _SIZES,
+    ),
+)
+def a05_heading_levels(spark, sf_dir):
+    return statistics.heading_levels(statistics.size_histogram(frames.spans(chars(spark, sf_dir))))
+
+
+_KEY = r"regexp_replace(regexp_replace(lower(regexp_replace(text, '^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$', '', 'g')), '[0-9]+', '#', 'g'), '[ \t\n\r\f\x0B]+', ' ', 'g')"
+
+
+@query(
+    "a06_running_lines",
+    oracle.on_chars(
+        f"""SELECT k.doc, key, top, count(*) AS pages FROM (
+  SELECT DISTINCT l.doc, l.page, {_KEY.replace("text,", "l.text,")} AS key, b.y0 < 600 AS top FROM lines l JOIN blocks b ON l.doc = b.doc AND l.page = b.page AND l.block = b.block WHERE b.y1 <= 1200 * 0.1::DOUBLE OR b.y0 >= 1200 * 0.9::DOUBLE) k
+JOIN (SELECT doc, count(DISTINCT page) AS n FROM blocks GROUP BY doc HAVING n >= 3) p ON k.doc = p.doc WHERE key <> '' GROUP BY k.doc, key, top, n HAVING count(*) >= greatest(2, floor(n * 0.4::DOUBLE + 0.5))""",
+        LINES,
+        BLOCKS,
+    ),
+)
+def a06_running_lines(spark, sf_dir):
+    c = chars(spark, sf_dir)
+    return statistics.running_lines(frames.lines(c), frames.blocks(c), typeset.PAGE_HEIGHT)
+
+
+@query(
+    "a08_repeated_lines",
+    oracle.on_chars("SELECT doc, text, CAST(sum(n) AS BIGINT) AS n, max(n) AS most FROM (SELECT doc, page, text, count(*) AS n FROM lines GROUP BY ALL) GROUP BY doc, text HAVING sum(n) > 2 OR max(n) > 1", LINES),
+)
+def a08_repeated_lines(spark, sf_dir):
+    return statistics.repeated_headings(frames.lines(chars(spark, sf_dir)))
+
+
+@query(
+    "a10_quality_report",
+    oracle.on_chars(
+        """SELECT doc, page, CAST(sum(n) AS BIGINT) AS chars, round_even(sum(bad) / sum(n), 4) AS garbled_ratio, round_even(greatest(0.0, 1.0 - sum(bad) / sum(n) / 0.5), 4) AS score,
+  sum(bad) / sum(n) > 0.1 AS needs_ocr, CASE WHEN sum(bad) / sum(n) > 0.1 THEN 'garbled_text' ELSE '' END AS reasons, string_agg(font, ',' ORDER BY -n, font) AS fonts
+FROM (SELECT doc, page, font, count(*) AS n, count(*) FILTER (regexp_matches(c, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x9F\\x{FFFD}\\x{E000}-\\x{F8FF}\\x{F0000}-\\x{10FFFF}]')) AS bad
+  FROM chars WHERE c NOT IN (' ', chr(9), chr(10), chr(11), chr(12), chr(13)) GROUP BY ALL) GROUP BY doc, page"""
+    ),
+)
+def a10_quality_report(spark, sf_dir):
+    return statistics.quality_report(chars(spark, sf_dir))
+
+
+@query(
+    "a13_garbled_ratio",
+    """SELECT doc_id, CASE WHEN n > 0 THEN bad / n ELSE 0.0 END AS ratio FROM (SELECT doc_id, length(regexp_replace(text, '[ \\t\\n\\r\\f\\x0B]+', '', 'g')) AS n,
+  length(text) - length(regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x9F\\x{FFFD}\\x{E000}-\\x{F8FF}\\x{F0000}-\\x{10FFFF}]', '', 'g')) AS bad FROM documents)""",
+)
+def a13_garbled_ratio(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.garbled_ratio(F.col("text")).alias("ratio"))
+
+
+_BINS = """
+spread AS (SELECT DISTINCT doc, page, block, line, unnest(range(CAST(floor(x0 / 5.0::DOUBLE) AS INTEGER), CAST(floor(x1 / 5.0::DOUBLE) AS INTEGER) + 1)) AS bin FROM words),
+profile AS (SELECT doc, page, CAST(bin AS INTEGER) AS bin, count(*) AS rows FROM spread GROUP BY ALL)"""
+
+
+@query("a16_coverage_profile", oracle.on_chars("SELECT * FROM profile", WORDS, _BINS))
+def a16_coverage_profile(spark, sf_dir):
+    return statistics.coverage_profile(words(spark, sf_dir))
+
+
+@query(
+    "w21_corridors",
+    oracle.on_chars(
+        """SELECT doc, page, CAST(min(bin) AS INTEGER) AS start, CAST(max(bin) AS INTEGER) AS stop FROM (
+  SELECT e.doc, e.page, e.bin, e.bin - row_number() OVER (PARTITION BY e.doc, e.page ORDER BY e.bin) AS run FROM (SELECT doc, page, unnest(range(min(bin), max(bin) + 1)) AS bin FROM profile GROUP BY doc, page) e
+  LEFT JOIN profile p ON e.doc = p.doc AND e.page = p.page AND e.bin = p.bin WHERE coalesce(rows, 0) <= 1) GROUP BY doc, page, run HAVING count(*) >= 2""",
+        WORDS,
+        _BINS,
+    ),
+)
+def w21_corridors(spark, sf_dir):
+    return statistics.corridors(statistics.coverage_profile(words(spark, sf_dir)), allowed=1)
+
+
+#: Cells of a grid of 3 columns and 4 rows, by value.
+CELLS = [(r * 3 + c, 72.0 + 140.0 * c, 60.0 + 90.0 * r, 212.0 + 140.0 * c, 150.0 + 90.0 * r) for r in range(4) for c in range(3)]
+_CELLS = "cell(id, b0, b1, b2, b3) AS (VALUES " + ", ".join(f"({i}, {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE, {d}::DOUBLE)" for i, a, b, c, d in CELLS) + ")"
+_COVER = "(greatest(0.0::DOUBLE, least(x1, b2) - greatest(x0, b0)) * greatest(0.0::DOUBLE, least(y1, b3) - greatest(y0, b1)) / ((x1 - x0) * (y1 - y0)))"
+
+
+@query(
+    "j01_words_in_cells",
+    oracle.on_chars(
+        f"SELECT doc, page, block, line, word, id AS box, cover FROM (SELECT *, {_COVER} AS cover FROM words, cell WHERE b0 <= x1 AND b2 >= x0 AND b1 <= y1 AND b3 >= y0) WHERE cover >= 0.5 QUALIFY row_number() OVER (PARTITION BY doc, page, block, line, word ORDER BY cover DESC, id) = 1",
+        WORDS,
+        _CELLS,
+    ),
+)
+def j01_words_in_cells(spark, sf_dir):
+    cells = spatial.literal(spark, CELLS, "id int, x0 double, y0 double, x1 double, y1 double")
+    return spatial.assign(words(spark, sf_dir), cells, ["doc", "page", "block", "line", "word"])
+
+
+LINKS = [(0, "https://example.org/a", 100.0, 60.0, 200.0, 100.0), (1, "#page=2", 180.0, 80.0, 260.0, 130.0), (2, "https://example.org/b", 72.0, 200.0, 120.0, 400.0)]
+_LINKS = "cell(id, url, b0, b1, b2, b3) AS (VALUES " + ", ".join(f"({i}, '{u}', {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE, {d}::DOUBLE)" for i, u, a, b, c, d in LINKS) + ")"
+
+
+@query(
+    "j02_link_runs",
+    oracle.on_chars(
+        """SELECT doc, page, pline, CAST(run - 1 AS INTEGER) AS run, url, string_agg(CASE WHEN gap AND NOT change THEN ' ' ELSE '' END || c, '' ORDER BY gidx) AS text FROM (
+  SELECT *, sum(change::INT) OVER (PARTITION BY doc, page, pline ORDER BY gidx ROWS UNBOUNDED PRECEDING) AS run FROM (
+    SELECT *, coalesce(lag(url) OVER (PARTITION BY doc, page, pline ORDER BY gidx) <> url, true) AS change FROM linked)) GROUP BY doc, page, pline, run, url""",
+        _LINKS,
+        f"""
+linked AS (SELECT c.*, coalesce(l.url, '') AS url FROM chars c LEFT JOIN (SELECT doc, page, gidx, url FROM (SELECT doc, page, gidx, id, url, {_COVER} AS cover FROM chars, cell WHERE b0 <= x1 AND b2 >= x0 AND b1 <= y1 AND b3 >= y0)
+  WHERE cover >= 0.5 QUALIFY row_number() OVER (PARTITION BY doc, page, gidx ORDER BY cover DESC, id) = 1) l ON c.doc = l.doc AND c.page = l.page AND c.gidx = l.gidx)""",
+    ),
+)
+def j02_link_runs(spark, sf_dir):
+    links = spatial.literal(spark, LINKS, "id int, url string, x0 double, y0 double, x1 double, y1 double")
+    return spatial.link_runs(chars(spark, sf_dir), links)
+
+
+AREAS = [(0, 100.0, 70.0, 180.0, 90.0), (1, 150.0, 100.0, 152.0, 300.0), (2, 300.0, 201.0, 420.0, 206.0)]
+_AREAS = "area(id, r0, r1, r2, r3) AS (VALUES " + ", ".join(f"({i}, {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE, {d}::DOUBLE)" for i, a, b, c, d in AREAS) + ")"
+
+
+@query(
+    "j16_redaction_report",
+    oracle.on_chars(
+        """SELECT c.doc, c.page, count(*) AS chars, count(*) FILTER (hit) AS removed, count(*) FILTER (NOT hit) AS touched, count(*) FILTER (half AND NOT hit) AS half FROM chars c LEFT JOIN state s ON c.doc = s.doc AND c.page = s.page AND c.gidx = s.gidx GROUP BY c.doc, c.page""",
+        _AREAS,
+        """
+state AS (SELECT doc, page, gidx, bool_or((iw >= 0.1::DOUBLE * (x1 - x0) OR iw >= 0.5 * (r2 - r0)) AND (ih >= 0.5 * (y1 - y0) OR ih >= 0.5 * (r3 - r1)) AND iw > 0 AND ih > 0) AS hit, bool_or(iw * ih / ((x1 - x0) * (y1 - y0)) >= 0.5) AS half FROM (
+  SELECT *, greatest(0.0::DOUBLE, least(x1, r2) - greatest(x0, r0)) AS iw, greatest(0.0::DOUBLE, least(y1, r3) - greatest(y0, r1)) AS ih FROM chars, area WHERE r0 <= x1 AND r2 >= x0 AND r1 <= y1 AND r3 >= y0) GROUP BY doc, page, gidx)""",
+    ),
+)
+def j16_redaction_report(spark, sf_dir):
+    areas = spatial.literal(spark, AREAS, "id int, x0 double, y0 double, x1 double, y1 double")
+    return spatial.redaction_report(chars(spark, sf_dir), areas)
+
+
+@query(
+    "j18_unmatched_chars",
+    oracle.on_chars("""SELECT doc, page, c, CAST(round(x0 / 0.05::DOUBLE) AS BIGINT) AS x0, CAST(round(y0 / 0.05::DOUBLE) AS BIGINT) AS y0, CAST(round(x1 / 0.05::DOUBLE) AS BIGINT) AS x1, CAST(round(y1 / 0.05::DOUBLE) AS BIGINT) AS y1 FROM chars WHERE x0 BETWEEN 100 AND 120"""),
+)
+def j18_unmatched_chars(spark, sf_dir):
+    c = chars(spark, sf_dir)
+    return spatial.unmatched(c, c.where(~F.col("x0").between(100.0, 120.0)))
+
+
+NEEDLE = "the t"
+
+
+@query(
+    "c07_search",
+    oracle.on_chars(
+        """SELECT h.doc, h.page, CAST(hit AS INTEGER) AS hit, pline, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM (SELECT doc, page, hit, unnest(range(start, start + 5)) AS pos FROM hits WHERE hit < 20) h
+JOIN positioned p ON h.doc = p.doc AND h.page = p.page AND h.pos = p.pos GROUP BY h.doc, h.page, hit, pline""",
+        """
+spaced_chars AS (SELECT *, (gap OR (head AND row_number() OVER (PARTITION BY doc, page ORDER BY gidx) > 1))::INT AS space FROM chars),
+positioned AS (SELECT *, CAST(sum(space + 1) OVER (PARTITION BY doc, page ORDER BY gidx ROWS UNBOUNDED PRECEDING) - 1 AS INTEGER) AS pos FROM spaced_chars),
+texts AS (SELECT doc, page, lower(string_agg(CASE WHEN space = 1 THEN ' ' ELSE '' END || c, '' ORDER BY pos)) AS text FROM positioned GROUP BY doc, page),
+parts AS (SELECT doc, page, unnest(l) AS part, generate_subscripts(l, 1) AS k, len(l) AS n FROM (SELECT doc, page, string_split(text, 'the t') AS l FROM texts)),
+hits AS (SELECT doc, page, k - 1 AS hit, CAST(sum(length(part) + 5) OVER (PARTITION BY doc, page ORDER BY k ROWS UNBOUNDED PRECEDING) - 5 AS INTEGER) AS start, n, k FROM parts QUALIFY k < n)""",
+    ),
+)
+def c07_search(spark, sf_dir):
+    return search.search(chars(spark, sf_dir), NEEDLE, hit_max=20)
+
+
+def rules(spark, sf_dir):
+    """Segments from order lines: odd lines are horizontal."""
+    rows = table(spark, sf_dir, "lineitem")
+    return rows.select(F.col("l_orderkey").alias("page"), (F.col("l_linenumber") % 2 == 1).alias("horizontal"), F.col("l_quantity").alias("position"), (F.col("l_discount") * 100).alias("start"), (F.col("l_discount") * 100 + F.col("l_tax") * 500).alias("stop"))
+
+
+_RULES = """
+segments AS (SELECT l_orderkey AS page, l_linenumber % 2 = 1 AS horizontal, l_quantity AS position, l_discount * 100 AS start, l_discount * 100 + l_tax * 500 AS stop FROM lineitem),
+clusters AS (SELECT *, sum(step) OVER (PARTITION BY page, horizontal ORDER BY position, start, stop ROWS UNBOUNDED PRECEDING) AS cluster FROM (
+  SELECT *, coalesce(position - lag(position) OVER (PARTITION BY page, horizontal ORDER BY position, start, stop) > 1.5, true)::INT AS step FROM segments)),
+reaches AS (SELECT *, coalesce(start > max(stop) OVER (PARTITION BY page, horizontal, cluster ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 2.5, true)::INT AS apart FROM clusters),
+pieces AS (SELECT *, sum(apart) OVER (PARTITION BY page, horizontal, cluster ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS piece, min(position) OVER (PARTITION BY page, horizontal, cluster) AS place FROM reaches),
+merged AS (SELECT page, horizontal, min(place) AS position, min(start) AS start, max(stop) AS stop FROM pieces GROUP BY page, horizontal, cluster, piece)"""
+
+
+@query("w18_merged_rules", oracle.sql("SELECT * FROM merged", _RULES))
+def w18_merged_rules(spark, sf_dir):
+    return spatial.merge_rules(rules(spark, sf_dir))
+
+
+@query(
+    "j08_rule_crossings",
+    "SELECT h.l_orderkey AS page, h.l_linenumber AS h, v.l_linenumber AS v FROM lineitem h JOIN lineitem v ON h.l_orderkey = v.l_orderkey WHERE h.l_linenumber % 2 = 1 AND v.l_linenumber % 2 = 0"
+    " AND v.l_quantity >= h.l_discount * 100 - 2.5 AND v.l_quantity <= h.l_discount * 100 + h.l_tax * 500 + 2.5 AND h.l_quantity >= v.l_discount * 100 - 2.5 AND h.l_quantity <= v.l_discount * 100 + v.l_tax * 500 + 2.5",
+)
+def j08_rule_crossings(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem")
+    own = rows.select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("id"), (F.col("l_linenumber") % 2 == 1).alias("horizontal"), F.col("l_quantity").alias("position"), (F.col("l_discount") * 100).alias("start"), (F.col("l_discount") * 100 + F.col("l_tax") * 500).alias("stop"))
+    return spatial.crossings(own)
+
+
+@query(
+    "a21_token_f1",
+    oracle.on_chars(
+        """SELECT doc, 2 * i / (n + m) AS f1, CASE WHEN m > 0 THEN i / m ELSE 1.0 END AS recall FROM (SELECT doc, sum(least(n, m)) AS i, sum(n) AS n, sum(m) AS m FROM (
+  SELECT coalesce(a.doc, b.doc) AS doc, coalesce(n, 0) AS n, coalesce(m, 0) AS m FROM (SELECT doc, text AS token, count(*) AS n FROM words GROUP BY ALL) a FULL JOIN truth b ON a.doc = b.doc AND a.token = b.token) GROUP BY doc)""",
+        WORDS,
+        "truth AS (SELECT doc_id AS doc, token, count(*) AS m FROM (SELECT doc_id, unnest(string_split_regex(text, '[ \\n]+')) AS token FROM documents) WHERE token <> '' GROUP BY ALL)",
+    ),
+)
+def a21_token_f1(spark, sf_dir):
+    """Words of the layout against the text's own."""
+    truth = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.explode(F.split("text", "[ \n]+")).alias("token")).where("token != ''")
+    return statistics.multiset_f1(words(spark, sf_dir).select("doc", F.col("text").alias("token")), truth)
+
+
+_ELEMENTS = r"""
+tags AS (SELECT page_id AS doc, regexp_extract_all(html, '<(h[1-6]|p|li)\b[^>]*>([^<]*)', 1) AS t, regexp_extract_all(html, '<(h[1-6]|p|li)\b[^>]*>([^<]*)', 2) AS x FROM pages WHERE html IS NOT NULL),
+parts AS (SELECT doc, generate_subscripts(t, 1) - 1 AS ord, unnest(t) AS tag, regexp_replace(regexp_replace(unnest(x), '^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$', '', 'g'), '[ \t\n\r\f\x0B]+', ' ', 'g') AS text FROM tags),
+elements AS (SELECT doc, CAST(ord AS INTEGER) AS ord, CASE WHEN tag LIKE 'h%' THEN 'heading' WHEN tag = 'li' THEN 'list_item' ELSE 'paragraph' END AS type, CASE WHEN tag LIKE 'h%' THEN CAST(tag[2:2] AS INTEGER) ELSE 0 END AS level, text,
+  CASE WHEN tag LIKE 'h%' THEN repeat('#', CAST(tag[2:2] AS INTEGER)) || ' ' WHEN tag = 'li' THEN '- ' ELSE '' END || regexp_replace(text, '([\\`*_\[\]<>])', '\\\1', 'g') AS md FROM parts WHERE text <> '')"""
+
+
+def page_elements(spark, sf_dir):
+    return markdown.elements(table(spark, sf_dir, "pages"))
+
+
+@query("c11_elements", oracle.sql("SELECT * FROM elements", _ELEMENTS))
+def c11_elements(spark, sf_dir):
+    return page_elements(spark, sf_dir)
+
+
+@query(
+    "c12_markdown",
+    oracle.sql(
+        "SELECT doc, string_agg(t, '' ORDER BY ord) || chr(10) AS markdown FROM (SELECT doc, ord, CASE WHEN before IS NULL THEN '' WHEN before = 'list_item' AND type = 'list_item' THEN chr(10) ELSE chr(10) || chr(10) END || md AS t FROM (SELECT *, lag(type) OVER (PARTITION BY doc ORDER BY ord) AS before FROM elements)) GROUP BY doc",
+        _ELEMENTS,
+    ),
+)
+def c12_markdown(spark, sf_dir):
+    return markdown.to_markdown(page_elements(spark, sf_dir))
+
+
+@query(
+    "w27_heading_paths",
+    oracle.sql(
+        "SELECT doc, ord, CASE WHEN level = 1 THEN '' ELSE coalesce(last_value(CASE WHEN level = 1 THEN text END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') END AS path FROM elements",
+        _ELEMENTS,
+    ),
+)
+def w27_heading_paths(spark, sf_dir):
+    """Pages have headings of level 1 only; deeper paths are tested on fixtures."""
+    return markdown.heading_paths(page_elements(spark, sf_dir)).select("doc", "ord", "path")
+
+
+@query("c13_chunks")
+def c13_chunks(spark, sf_dir):
+    return markdown.chunks(page_elements(spark, sf_dir))
+
+
+@query("w28_conversation_chunks")
+def w28_conversation_chunks(spark, sf_dir):
+    """Turns of a conversation packed to 2000 characters; a system turn heads them."""
+    rows = table(spark, sf_dir, "conversations")
+    system = F.col("role") == "system"
+    body = F.coalesce("text", F.lit(""))
+    els = rows.select(F.col("conv_id").alias("doc"), F.col("turn").alias("ord"), F.when(system, "heading").otherwise("paragraph").alias("type"), F.when(system, 1).otherwise(0).alias("level"), body.alias("text"), F.concat("role", F.lit(": "), body).alias("md"))
+    return markdown.chunks(els)
+
+
+_HTML = lambda c: f"replace(replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+_PX = "CAST(round_even(x0, 0)::INT AS VARCHAR) || ' ' || CAST(round_even(y0, 0)::INT AS VARCHAR) || ' ' || CAST(round_even(x1, 0)::INT AS VARCHAR) || ' ' || CAST(round_even(y1, 0)::INT AS VARCHAR)"
+_UNION = "min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1"
+
+
+@query(
+    "k13_hocr",
+    oracle.on_chars(
+        f"""SELECT doc, page, string_agg('<div class="ocr_carea" title="bbox ' || {_PX} || '">' || chr(10) || body || chr(10) || '</div>', chr(10) ORDER BY block) AS hocr FROM (
+  SELECT doc, page, block, {_UNION}, string_agg('<span class="ocr_line" title="bbox ' || {_PX} || '">' || body || '</span>', chr(10) ORDER BY line) AS body FROM (
+    SELECT doc, page, block, line, {_UNION}, string_agg('<span class="ocrx_word" title="bbox ' || {_PX} || '; x_wconf 100">' || {_HTML("text")} || '</span>', ' ' ORDER BY word) AS body FROM words GROUP BY doc, page, block, line)
+  GROUP BY doc, page, block) GROUP BY doc, page""",
+        WORDS,
+    ),
+)
+def k13_hocr(spark, sf_dir):
+    return exports.hocr(words(spark, sf_dir))
+
+
+_AT = "printf('HPOS=\"%d\" VPOS=\"%d\" WIDTH=\"%d\" HEIGHT=\"%d\"', round_even(x0, 0)::INT, round_even(y0, 0)::INT, round_even(x1 - x0, 0)::INT, round_even(y1 - y0, 0)::INT)"
+
+
+@query(
+    "k14_alto",
+    oracle.on_chars(
+        f"""SELECT doc, page, string_agg('<TextBlock ' || {_AT} || '>' || body || '</TextBlock>', '' ORDER BY block) AS alto FROM (
+  SELECT doc, page, block, {_UNION}, string_agg('<TextLine ' || {_AT} || '>' || body || '</TextLine>', '' ORDER BY line) AS body FROM (
+    SELECT doc, page, block, line, {_UNION}, string_agg('<String ' || {_AT} || ' CONTENT="' || {_HTML("text")} || '"/>', '<SP/>' ORDER BY word) AS body FROM words GROUP BY doc, page, block, line)
+  GROUP BY doc, page, block) GROUP BY doc, page""",
+        WORDS,
+    ),
+)
+def k14_alto(spark, sf_dir):
+    return exports.alto(words(spark, sf_dir))
+
+
+@query(
+    "k10_html",
+    oracle.on_chars(f"SELECT doc, page, string_agg(printf('<p style=\"left:%dpt;top:%dpt\">', floor(x0)::INT, floor(y0)::INT) || {_HTML('text')} || '</p>', chr(10) ORDER BY block, line) AS html FROM lines GROUP BY doc, page", LINES),
+)
+def k10_html(spark, sf_dir):
+    return exports.html(frames.lines(chars(spark, sf_dir)))
+
+
+@query(
+    "k12_xml",
+    oracle.on_chars(
+        f"SELECT doc, page, string_agg('<line>' || body || '</line>', chr(10) ORDER BY block, line) AS xml FROM (SELECT doc, page, block, line, string_agg('<font name=\"' || font || '\">' || {_HTML('text')} || '</font>', '' ORDER BY span) AS body FROM spans GROUP BY doc, page, block, line) GROUP BY doc, page",
+        SPANS,
+    ),
+)
+def k12_xml(spark, sf_dir):
+    return exports.xml(frames.spans(chars(spark, sf_dir)))
+
+
+@query("k06_json")
+def k06_json(spark, sf_dir):
+    return exports.page_json(words(spark, sf_dir))
+
+
+@query("j20_duplicate_streams", "SELECT doc_id, sha1(text) AS digest, min(doc_id) OVER (PARTITION BY text) AS canonical, count(*) OVER (PARTITION BY text) AS n FROM documents WHERE text IS NOT NULL")
+def j20_duplicate_streams(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.sha1("text").alias("digest"))
+    groups = rows.groupBy("digest").agg(F.min("doc_id").alias("canonical"), F.count("*").alias("n"))
+    return rows.join(groups, "digest").select("doc_id", "digest", "canonical", "n")
+
+
+_BOX = "least(e[{0}], e[{2}])::DOUBLE AS {4}x0, least(e[{1}], e[{3}])::DOUBLE AS {4}y0, greatest(e[{0}], e[{2}])::DOUBLE AS {4}x1, greatest(e[{1}], e[{3}])::DOUBLE AS {4}y1"
+
+
+@query(
+    "f28_iou",
+    f"""SELECT vec_id, CASE WHEN a + b - i > 0 THEN i / (a + b - i) ELSE 0.0 END AS iou, i / a AS cover FROM (
+  SELECT vec_id, (px1 - px0) * (py1 - py0) AS a, (qx1 - qx0) * (qy1 - qy0) AS b, greatest(0.0::DOUBLE, least(px1, qx1) - greatest(px0, qx0)) * greatest(0.0::DOUBLE, least(py1, qy1) - greatest(py0, qy0)) AS i
+  FROM (SELECT vec_id, {_BOX.format(1, 2, 3, 4, "p")}, {_BOX.format(5, 6, 7, 8, "q")} FROM (SELECT vec_id, embedding AS e FROM embeddings)))""",
+)
+def f28_iou(spark, sf_dir):
+    """Boxes from the first eight components of each vector."""
+    e = lambda k: F.col("embedding")[k].cast("double")
+    corners = {f"{p}{c}{n}": f(e(i), e(j)) for p, o in (("p", 0), ("q", 4)) for c, i, j in (("x", o, o + 2), ("y", o + 1, o + 3)) for n, f in ((0, F.least), (1, F.greatest))}
+    return table(spark, sf_dir, "embeddings").withColumns(corners).select("vec_id", geometry.iou("p", "q").alias("iou"), geometry.cover("p", "q").alias("cover"))
+
+
+@query(
+    "t06_sessions",
+    """SELECT user_id, CAST(session - 1 AS INTEGER) AS session, min(ts) AS start, max(ts) AS stop, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(38,9))) AS DOUBLE) AS total FROM (
+  SELECT *, sum(step) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM (
+    SELECT *, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) > 1800000000, true)::INT AS step FROM events)) GROUP BY user_id, session""",
+)
+def t06_sessions(spark, sf_dir):
+    return islands.sessions(table(spark, sf_dir, "events")).withColumn("session", F.col("session").cast("int"))
+
+
+_K = r"regexp_replace(lower(regexp_replace(text, '^[ \t\n\r\f\x0B]*([0-9]+|[A-Z]|[IVXLC]+)(\.[0-9]+)*\.?[ \t\n\r\f\x0B]+', '')), '[^0-9a-z]+', '', 'g')"
+
+
+@query("f12_text_keys", oracle.on_chars(f"SELECT doc, page, block, line, {_KEY} AS running, {_K} AS heading FROM lines", LINES))
+def f12_text_keys(spark, sf_dir):
+    return frames.lines(chars(spark, sf_dir)).select("doc", "page", "block", "line", text.running_key(F.col("text")).alias("running"), text.heading_key(F.col("text")).alias("heading"))
+
+
+@query(
+    "f31_tiles",
+    """SELECT p_partkey, w, h, CAST(c AS INTEGER) AS col, CAST(r AS INTEGER) AS row, least(300, w - 300 * c)::INT AS tile_w, least(300, h - 300 * r)::INT AS tile_h FROM (
+  SELECT *, unnest(range((h + 299) // 300)) AS r FROM (SELECT *, unnest(range((w + 299) // 300)) AS c FROM (
+    SELECT p_partkey, floor(p_size * 12.5 * 150 / 72 + 0.5 + 1e-9)::INT AS w, floor(p_retailprice / 2 * 150 / 72 + 0.5 + 1e-9)::INT AS h FROM part)))""",
+)
+def f31_tiles(spark, sf_dir):
+    """Pages of p_size × 12.5 by p_retailprice / 2 points, at 150 dpi, in tiles of 300 pixels."""
+    px = lambda v: geometry.half_up(v * 150 / 72)
+    rows = table(spark, sf_dir, "part").select("p_partkey", px(F.col("p_size") * 12.5).alias("w"), px(F.col("p_retailprice") / 2).alias("h"))
+    return render.tiles(rows, 300)
+
+
+@query(
+    "e09_image_decisions",
+    """SELECT p_partkey, dpi, action, reason FROM (SELECT p_partkey, p_size * 12 AS dpi, CASE WHEN p_type LIKE '%BRASS' THEN 'kept' WHEN p_size % 7 = 0 THEN 'g4' WHEN p_type LIKE '%STEEL' THEN 'kept' WHEN p_size * 12 > 150 * 1.3 THEN 'resampled' ELSE 'recompressed' END AS action,
+  CASE WHEN p_type LIKE '%BRASS' THEN 'already a specialised codec' WHEN p_size % 7 = 0 THEN '' WHEN p_type LIKE '%STEEL' THEN 'colour space or bit depth not handled' ELSE '' END AS reason FROM part)""",
+)
+def e09_image_decisions(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select(
+        "p_partkey",
+        (F.col("p_size") * 12).alias("dpi"),
+        F.when(F.endswith("p_type", F.lit("BRASS")), "JBIG2Decode").otherwise("DCTDecode").alias("filter"),
+        F.when(F.col("p_size") % 7 == 0, 1).otherwise(8).alias("bits"),
+        F.when(F.endswith("p_type", F.lit("STEEL")), "DeviceCMYK").otherwise("DeviceRGB").alias("colorspace"),
+    )
+    return render.image_decisions(rows, 150).select("p_partkey", "dpi", "action", "reason")
