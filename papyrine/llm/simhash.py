@@ -22,12 +22,14 @@ from pyspark.sql import types as T
 
 from papyrine.llm import runtime
 from papyrine.llm.components import connected_components
-from papyrine.llm.runtime import attach, materialize, release
+from papyrine.llm.runtime import attach, attach_counted, materialize, release
 
 MAX_BITS = 2
 #: Fingerprints of a cell that are compared with each other; larger cells go another, exact way.
 CELL = 64
 SEED = 42
+#: keep_one: shingles of a piece on average, bits beyond which documents are not compared, similarity that links.
+PIECE, FAR, SIMILARITY = 32, 20, 0.8
 
 
 def shingle_hashes(text: str | None, width: int) -> list[int]:
@@ -46,11 +48,13 @@ def shingle_hashes(text: str | None, width: int) -> list[int]:
     return [xx(line[a:b], SEED) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)]
 
 
-def fingerprints(texts: list[str | None], width: int) -> np.ndarray:
-    """A bit is 1 if it is set in over half the shingle hashes."""
+def fingerprints(texts: list[str | None], width: int, pieces: int = 0) -> tuple[np.ndarray, list[np.ndarray]]:
+    """A bit is 1 if it is set in over half the shingle hashes. With pieces, also the distinct fingerprints of each
+    text's pieces: runs of shingles that start where a shingle's hash is 0 modulo `pieces`."""
     hashes = [shingle_hashes(t, width) for t in texts]
     counts = np.fromiter(map(len, hashes), np.int64, len(hashes))
     out = np.zeros(len(texts), np.uint64)
+    parts = [np.zeros(0, np.uint64)] * len(texts)
     full = np.flatnonzero(counts)
     at = 0
     while at < len(full):  # a few hundred thousand hashes at a time, 64 bytes each
@@ -58,23 +62,37 @@ def fingerprints(texts: list[str | None], width: int) -> np.ndarray:
         own = full[at:to]
         flat = np.fromiter((h for k in own for h in hashes[k]), np.uint64, int(counts[own].sum()))
         bits = np.unpackbits(flat.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones = np.add.reduceat(bits, np.cumsum(counts[own]) - counts[own], axis=0, dtype=np.uint32)
-        majority = ones * 2 > counts[own][:, None]
-        out[own] = np.packbits(majority, axis=1, bitorder="little").view("<u8")[:, 0]
+        starts = np.cumsum(counts[own]) - counts[own]
+        out[own] = _majority(np.add.reduceat(bits, starts, axis=0, dtype=np.uint32), counts[own])
+        if pieces:
+            cut = flat % np.uint64(pieces) == 0
+            cut[starts] = True
+            head = np.flatnonzero(cut)
+            size = np.diff(np.append(head, len(flat)))
+            fp = _majority(np.add.reduceat(bits, head, axis=0, dtype=np.uint32), size)
+            first = np.searchsorted(head, np.append(starts, len(flat)))
+            for k, x, y in zip(own.tolist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
+                parts[k] = np.unique(fp[x:y])
         at = to
-    return out
+    return out, parts
+
+
+def _majority(ones: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    return np.packbits(ones * 2 > counts[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
 
 
-def with_fingerprint(docs: DataFrame, width: int, text_col: str = "text", columns: list[str] | None = None, name: str = "fp") -> DataFrame:
-    """The columns named (all by default) and the fingerprint as a long with the same bits."""
+def with_fingerprint(docs: DataFrame, width: int, text_col: str = "text", columns: list[str] | None = None, name: str = "fp", pieces: int = 0) -> DataFrame:
+    """The columns named (all by default) and the fingerprint as a long with the same bits; with pieces, also those of
+    the pieces, in a column of that name."""
     runtime.prepare(docs.sparkSession)
     columns = docs.columns if columns is None else columns
-    schema = T.StructType([docs.schema[c] for c in columns] + [T.StructField(name, T.LongType())])
+    schema = T.StructType([docs.schema[c] for c in columns] + [T.StructField(name, T.LongType())] + [T.StructField("pieces", T.ArrayType(T.LongType()))] * bool(pieces))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = fingerprints(batch.column(text_col).to_pylist(), width).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(fp)], names=[*columns, name])
+            fp, parts = fingerprints(batch.column(text_col).to_pylist(), width, pieces)
+            more = [pa.array([p.view(np.int64) for p in parts], pa.list_(pa.int64()))] if pieces else []
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(fp.view(np.int64)), *more], names=schema.names)
 
     return docs.select(*dict.fromkeys([*columns, text_col])).mapInArrow(blocks, schema)
 
@@ -155,12 +173,12 @@ def links(distinct: DataFrame, cell: int = CELL) -> DataFrame:
     return found.where("b is not null").union(met).distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text", cell: int = CELL) -> tuple[DataFrame, DataFrame, int]:
+def near_duplicates(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text", cell: int = CELL, pieces: int = 0) -> tuple[DataFrame, DataFrame, int]:
     """(id_col, fp) of every row; (fp, component, first) for each distinct fingerprint, and their number.
 
     component is the smallest id that links reach, first the smallest fingerprint among them.
     """
-    marked = materialize(with_fingerprint(docs, width, text_col, [id_col]), "fingerprints")
+    marked = materialize(with_fingerprint(docs, width, text_col, [id_col], pieces=pieces), "fingerprints")
     distinct = materialize(marked.groupBy("fp").agg(F.min(id_col).alias("rep")), "distinct")
     n = distinct.count()
     label = connected_components(links(distinct, cell)).withColumnRenamed("node", "fp")
@@ -174,10 +192,72 @@ def near_duplicates(docs: DataFrame, width: int = 3, id_col: str = "doc_id", tex
     return marked, groups, n
 
 
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """The distinct shingles' hashes, 32 bits each, sorted."""
+    return np.unique(np.array(shingle_hashes(text, width), np.uint64).astype(np.uint32))
+
+
+def similar(docs: DataFrame, marked: DataFrame, groups: DataFrame, n: int, width: int, least: float = SIMILARITY) -> DataFrame:
+    """a, b: links between the first documents of components whose shingle sets have a Jaccard similarity of `least`.
+
+    Documents that share a piece's fingerprint are candidates. Each piece's documents are paired with two of them, the
+    first and one by hash, so a piece in very many documents makes two pairs for each, not all pairs. Pairs whose
+    fingerprints are over FAR bits apart cannot be that similar; the others' sets are compared.
+    """
+    firsts = attach(marked, groups.select("fp", "component"), "fp", n, 40).where("doc_id = component").dropDuplicates(["doc_id"])
+    firsts = materialize(firsts.select("doc_id", "fp", "pieces"), "firsts")
+    spread = firsts.select("doc_id", "fp", F.explode("pieces").alias("piece"))
+    me = F.struct("doc_id", "fp")
+    stars = spread.groupBy("piece").agg(F.min(me).alias("one"), F.min(F.struct(F.xxhash64("doc_id", "piece").alias("h"), "doc_id", "fp")).alias("two"), F.count("*").alias("copies")).where("copies > 1")
+    stars = materialize(stars.select("piece", "copies", F.array(F.struct("one.doc_id", "one.fp"), F.struct("two.doc_id", "two.fp")).alias("reps")), "stars")
+    met = attach_counted(spread, stars, ["piece"], stars.count(), 72)
+    met = met.select(F.col("doc_id").alias("a"), "fp", F.explode("reps").alias("rep")).where("a != rep.doc_id")
+    pairs = met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("rep.fp"))) <= FAR).select("a", F.col("rep.doc_id").alias("b"))
+    pairs = materialize(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
+    needed = materialize(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc_id"), "needed")
+    m = needed.count()
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([shingle_set(t, width).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], names=["doc_id", "shingles"])
+
+    own = attach(docs.select("doc_id", "text"), needed, "doc_id", m, 24, "inner", salts=1).dropDuplicates(["doc_id"])
+    own = materialize(own.mapInArrow(sets, "doc_id long, shingles binary"), "sets")
+    often = pairs.groupBy("b").agg(F.count("*").alias("n")).withColumn("salts", F.ceil(F.col("n") / 1000).cast("int"))
+    dealt = attach(pairs, often.select("b", "salts"), "b", m, 24, "inner").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int"))
+    members = dealt.select("b", "salt", F.col("a").alias("doc_id"))
+    heads = often.select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("b").alias("doc_id"))
+    rows = members.union(heads).join(own, "doc_id").select("b", "salt", (F.col("doc_id") != F.col("b")).alias("member"), "doc_id", "shingles")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, at = np.zeros(0, np.uint32), None
+        for batch in batches:
+            a, b = [], []
+            for rep, salt, member, doc_id, raw in zip(*(batch.column(c).to_pylist() for c in batch.schema.names), strict=True):
+                own = np.frombuffer(raw, np.uint32)
+                if not member:
+                    head, at = own, (rep, salt)
+                elif at == (rep, salt):
+                    both = len(np.intersect1d(own, head, assume_unique=True))
+                    if both >= least * (len(own) + len(head) - both):
+                        a.append(doc_id)
+                        b.append(rep)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    out = rows.repartition("b", "salt").sortWithinPartitions("b", "salt", "member").mapInArrow(compare, "a long, b long")
+    out = materialize(out, "similar")
+    release(firsts, stars, pairs, needed, own)
+    return out
+
+
 def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
-    """docs less all but one document of each component: the one with the smallest id stays (of equal ids, one)."""
+    """docs less all but one document of each group of near-duplicates: fingerprints that link, and first documents of
+    these components whose sets of shingles are similar. The smallest id of a group stays (of equal ids, one)."""
     tag = "_fp"
-    marked, groups, n = near_duplicates(docs, width)
+    marked, groups, n = near_duplicates(docs, width, pieces=PIECE)
+    more = connected_components(similar(docs, marked, groups, n, width)).select(F.col("node").alias("component"), "label")
+    groups = attach(groups.select("fp", "component"), more, "component", more.count(), 40)
+    groups = materialize(groups.select("fp", F.coalesce("label", "component").alias("component")), "kept")
     rows = with_fingerprint(docs, width, name=tag)
     rows = attach(rows, groups.select(F.col("fp").alias(tag), F.col("component").alias("_component")), tag, n, 40)
     kept = rows.where("doc_id <=> _component").drop(tag, "_component")

@@ -6,6 +6,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from papyrine.llm import bpe, mixing, quality
+from papyrine.llm.simhash import shingle_set
 from tests.llm.test_simhash import brute_components, brute_fp
 from tests.llm.test_substrings import brute
 
@@ -45,7 +46,9 @@ def test_stages_against_brute_force(spark, tables):
     one = STAGE["near_duplicates"](spark, good, path)
     assert one.columns == COLUMNS
     fps = {r[0]: brute_fp(r[1], 5) for r in own}
-    comp = brute_components(fps, [(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 2])
+    sets = {r[0]: set(shingle_set(r[1], 5).tolist()) for r in own}
+    near = lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 2 or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    comp = brute_components(fps, [(a, b) for a in fps for b in fps if a < b and near(a, b)])
     kept = sorted(tuple(r) for r in one.collect())
     assert kept == [r for r in own if comp[r[0]] == r[0]]
     cut = STAGE["substrings"](spark, one, path)

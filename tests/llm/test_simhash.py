@@ -66,3 +66,31 @@ def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     marked, groups, _ = simhash.near_duplicates(df)
     assert marked.count() == groups.count() == 0
+
+
+def test_keep_one(spark):
+    rng = np.random.default_rng(21)
+    word = lambda: "w%d" % rng.integers(0, 3000)
+    passage = [word() for _ in range(60)]
+    texts, group = [], []
+    for g in range(12):
+        base = [word() for _ in range(250)]
+        for k in range(6):
+            w = list(base)
+            for _ in range(k and 3):
+                w[rng.integers(0, len(w))] = word()
+            texts.append(" ".join(w))
+            group.append(g)
+    for g in range(12, 40):  # these share a passage only
+        texts.append(" ".join([*(word() for _ in range(100)), *passage, *(word() for _ in range(100))]))
+        group.append(g)
+    texts += [None, "", "short one", "short one"]
+    group += [40, 40, 41, 41]
+    sets = [set(simhash.shingle_set(t, 5).tolist()) for t in texts]
+    links = [(a, b) for a in range(len(texts)) for b in range(a) if sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    comp = brute_components(range(len(texts)), [*links, (100, 101)])
+    assert all(comp[a] == comp[b] for a in range(72) for b in range(72) if group[a] == group[b])
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(0, texts[0], "x")], "doc_id long, text string, fp string")
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({min(k for k in range(len(texts)) if group[k] == g) for g in group})
