@@ -11,7 +11,10 @@ def box():
 
 
 def ordered_text(text, order, separator: str = ""):
-    """Texts of a group in order, joined."""
+    """Texts of a group in order, joined. text: a column or its name; order: a column's name."""
+    if isinstance(text, str):
+        quoted = "".join("\\u%04X" % ord(c) for c in separator)
+        return F.expr(f"coalesce(listagg({text}, '{quoted}') WITHIN GROUP (ORDER BY {order}), '')")
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), text.alias("t")))), lambda x: x["t"]), separator)
 
 
@@ -32,7 +35,7 @@ def words(chars: DataFrame, delimiters: str = "") -> DataFrame:
         cut = F.col("c").isin(*delimiters)
         starts = F.col("head") | F.col("gap") | F.coalesce(F.lag(cut).over(w), F.lit(False)) | cut
         chars = chars.withColumn("pword", F.sum(starts.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).where(~cut)
-    rows = chars.groupBy("doc", "page", "block", "pline", "pword").agg(*box(), ordered_text(F.col("c"), "gidx").alias("text"))
+    rows = chars.groupBy("doc", "page", "block", "pline", "pword").agg(*box(), ordered_text("c", "gidx").alias("text"))
     order = Window.partitionBy("doc", "page", "block", "pline").orderBy("pword")
     rows = rows.withColumn("word", (F.row_number().over(order) - 1).cast("int"))
     return numbered(rows).select("doc", "page", "block", "line", "word", "x0", "y0", "x1", "y1", "text")
@@ -40,7 +43,7 @@ def words(chars: DataFrame, delimiters: str = "") -> DataFrame:
 
 def lines(chars: DataFrame) -> DataFrame:
     """doc, page, block, line, x0, y0, x1, y1, dir_x, dir_y, wmode, text."""
-    rows = chars.groupBy("doc", "page", "block", "pline").agg(*box(), F.min_by("dx", "gidx").alias("dir_x"), F.min_by("dy", "gidx").alias("dir_y"), ordered_text(spaced(), "gidx").alias("text"))
+    rows = chars.withColumn("_t", spaced()).groupBy("doc", "page", "block", "pline").agg(*box(), F.min_by("dx", "gidx").alias("dir_x"), F.min_by("dy", "gidx").alias("dir_y"), ordered_text("_t", "gidx").alias("text"))
     return numbered(rows).select("doc", "page", "block", "line", "x0", "y0", "x1", "y1", "dir_x", "dir_y", F.lit(0).cast("tinyint").alias("wmode"), "text")
 
 
@@ -51,31 +54,31 @@ def blocks(chars: DataFrame, dehyphenate: bool = False) -> DataFrame:
     text = F.concat("text", F.lit("\n"))
     if dehyphenate:
         text = F.when((F.length("text") > 1) & F.col("text").rlike(r"\p{L}-$"), F.expr("substring(text, 1, length(text) - 1)")).otherwise(text)
-    return rows.groupBy("doc", "page", "block").agg(*box(), ordered_text(text, "line").alias("text"))
+    return rows.withColumn("_t", text).groupBy("doc", "page", "block").agg(*box(), ordered_text("_t", "line").alias("text"))
 
 
 def page_text(chars: DataFrame, dehyphenate: bool = False) -> DataFrame:
     """doc, page, text: blocks in order, a blank line between them."""
-    return blocks(chars, dehyphenate).groupBy("doc", "page").agg(ordered_text(F.col("text"), "block", "\n").alias("text"))
+    return blocks(chars, dehyphenate).groupBy("doc", "page").agg(ordered_text("text", "block", "\n").alias("text"))
 
 
 def doc_text(chars: DataFrame) -> DataFrame:
     """doc, text: pages joined by a form feed."""
-    return page_text(chars).groupBy("doc").agg(ordered_text(F.col("text"), "page", "\f").alias("text"))
+    return page_text(chars).groupBy("doc").agg(ordered_text("text", "page", "\f").alias("text"))
 
 
 def spans(chars: DataFrame) -> DataFrame:
     """Runs of one font, size, color and superscript flag in a line: doc, page, block, line, span, box, text, font, size,
     flags, color. flags: superscript 1, italic 2, serif 4, mono 8, bold 16."""
-    flags = style_flags(F.col("font")).bitwiseOR(F.col("sup").cast("int"))
-    c = chars.withColumn("flags", flags).withColumn("_size", F.round("size", 3))
+    c = chars.withColumn("_size", F.round("size", 3))
     w = Window.partitionBy("doc", "page", "pline").orderBy("gidx")
     same = F.lit(True)
-    for k in ("font", "_size", "flags", "color"):
+    for k in ("font", "_size", "sup", "color"):  # a font's own flags go with the font
         same = same & (F.lag(k).over(w) == F.col(k))
     c = c.withColumn("span", (F.sum((~F.coalesce(same, F.lit(False))).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("int"))
-    first = lambda k: F.min_by(k, "gidx").alias(k)
-    rows = c.groupBy("doc", "page", "block", "pline", "span").agg(*box(), ordered_text(spaced(), "gidx").alias("text"), first("font"), first("size"), first("flags"), first("color"))
+    c = c.withColumn("_t", spaced())
+    rows = c.groupBy("doc", "page", "block", "pline", "span", "font", "color", "sup").agg(*box(), ordered_text("_t", "gidx").alias("text"), F.min_by("size", "gidx").alias("size"))
+    rows = rows.withColumn("flags", style_flags(F.col("font")).bitwiseOR(F.col("sup").cast("int")))
     return numbered(rows).select("doc", "page", "block", "line", "span", "x0", "y0", "x1", "y1", "text", "font", "size", "flags", "color")
 
 

@@ -20,8 +20,11 @@ PAGE_WIDTH, PAGE_HEIGHT = 720.0, 1200.0
 def read_typeset(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc, page, gidx, c, px, py (pen start), qx, qy (pen end), dx, dy (direction), size, font, color.
 
-    All of a text's rows are laid out in the text's own row, so nothing is shuffled. A null text has no glyphs.
+    Texts are dealt by their id before they are laid out: a text is some fifty times smaller than its glyphs, and every
+    window and group over (doc, page) that follows keeps this partitioning. A null text has no glyphs.
     """
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    docs = docs.select(id_col, text_col).repartition(parts, id_col)
     row = lambda s, para, j: F.struct(para.alias("para"), F.substring(s, j * COLUMNS + 1, COLUMNS).alias("s"))
     rows_of = lambda s, para: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length(s) - 1) / COLUMNS)).cast("int")), lambda j: row(s, para, j))
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc"), F.flatten(F.transform(F.split(text_col, "\n", -1), rows_of)).alias("rows"))
