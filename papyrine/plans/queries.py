@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyrine.functions import geometry, text
-from papyrine.operators import exports, frames, markdown, order, render, search, spatial, statistics
+from papyrine.operators import exports, frames, markdown, order, render, search, spatial, statistics, tables
 from papyrine.plans import layout, oracle
 from papyrine.sources import typeset
 from papyrine.streaming import islands
@@ -646,3 +646,22 @@ def e09_image_decisions(spark, sf_dir):
         F.when(F.endswith("p_type", F.lit("STEEL")), "DeviceCMYK").otherwise("DeviceRGB").alias("colorspace"),
     )
     return render.image_decisions(rows, 150).select("p_partkey", "dpi", "action", "reason")
+
+
+@query(
+    "c09_ruled_tables",
+    oracle.on_chars(
+        """SELECT p.doc, p.page, CAST(0 AS INTEGER) AS "table", CAST(r AS INTEGER) AS row, CAST(c AS INTEGER) AS col, CAST(1 AS INTEGER) AS rowspan, CAST(1 AS INTEGER) AS colspan,
+  72.0::DOUBLE + 140 * c AS x0, 60.0::DOUBLE + 90 * r AS y0, 212.0::DOUBLE + 140 * c AS x1, 150.0::DOUBLE + 90 * r AS y1, coalesce(text, '') AS text
+FROM (SELECT DISTINCT doc, page FROM inside) p, range(3) cs(c), range(4) rs(r) LEFT JOIN (SELECT doc, page, k, j, string_agg(text, ' ' ORDER BY round_even(my, 0), x0, text) AS text FROM inside GROUP BY doc, page, k, j) t ON t.doc = p.doc AND t.page = p.page AND t.k = c AND t.j = r""",
+        WORDS,
+        """
+inside AS (SELECT *, greatest(0, least(2, floor((mx - 72) / 140)::INT)) AS k, greatest(0, least(3, floor((my - 60) / 90)::INT)) AS j FROM (SELECT doc, page, x0, text, (x0 + x1) / 2 AS mx, (y0 + y1) / 2 AS my FROM words) WHERE mx BETWEEN 71 AND 493 AND my BETWEEN 59 AND 421)""",
+    ),
+)
+def c09_ruled_tables(spark, sf_dir):
+    """Every page is ruled like CELLS."""
+    w = words(spark, sf_dir)
+    edges = [(True, 60.0 + 90.0 * k, 72.0, 492.0) for k in range(5)] + [(False, 72.0 + 140.0 * k, 60.0, 420.0) for k in range(4)]
+    lines = spatial.literal(spark, edges, "horizontal boolean, position double, start double, stop double")
+    return tables.find_tables(w.select("doc", "page").distinct().join(lines), w)
