@@ -224,3 +224,15 @@ def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
         return [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array([hashlib.sha256(b" ".join(k)).hexdigest() for k in kept], pa.string())]
 
     return _kept(spans_of(docs), schema, row)
+
+
+#: The same rows by every window's words, for DuckDB.
+OP8_SQL = r"""
+WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS l FROM documents),
+windows AS (SELECT doc_id, i, md5(array_to_string(l[i : i + 34], ' ')) AS h FROM (SELECT doc_id, l, unnest(range(1, len(l) - 33)) AS i FROM texts)),
+repeated AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY h) > 1),
+covered AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS k FROM repeated),
+words AS (SELECT doc_id, generate_subscripts(l, 1) AS k, unnest(l) AS w FROM texts),
+kept AS (SELECT words.doc_id, count(*) AS n, string_agg(w, ' ' ORDER BY words.k) AS t FROM words LEFT JOIN covered ON words.doc_id = covered.doc_id AND words.k = covered.k WHERE covered.k IS NULL GROUP BY words.doc_id)
+SELECT texts.doc_id, CAST(len(l) AS BIGINT) AS n_words, CAST(len(l) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM texts LEFT JOIN kept ON texts.doc_id = kept.doc_id
+"""
