@@ -185,7 +185,7 @@ def anchors(docs: DataFrame, kind) -> DataFrame:
                 s = segments(units, bounds, kind.length, kind.gram)
                 yield pa.RecordBatch.from_arrays([_signed(s.anchor), _signed(s.content)], names=["anchor", "content"])
 
-    return docs.select("text").mapInArrow(run, "anchor long, content long")
+    return docs.select("text").mapInArrow(runtime.trimmed(run), "anchor long, content long")
 
 
 def bitmap(repeated: DataFrame, n: int) -> np.ndarray:
@@ -208,7 +208,7 @@ def bitmap(repeated: DataFrame, n: int) -> np.ndarray:
 
     dealt = repeated.select("anchor", F.shiftrightunsigned(F.col("anchor").bitwiseAND(F.lit(bits - 1)), part.bit_length() - 1).alias("chunk")).repartition("chunk")
     out = np.zeros(bits // 8, np.uint8)
-    for r in dealt.mapInArrow(run, "chunk int, bits binary").toLocalIterator():
+    for r in dealt.mapInArrow(runtime.trimmed(run), "chunk int, bits binary").toLocalIterator():
         out[r.chunk * (part // 8) : (r.chunk + 1) * (part // 8)] |= np.frombuffer(r.bits, np.uint8)
     return out
 
@@ -249,7 +249,7 @@ def candidates(docs: DataFrame, kind, shared) -> DataFrame:
                     [pa.array(keys[row[text]]), pa.array(place), pa.array(count.astype(np.int32)), _signed(route), _signed(content), pa.array(bodies, pa.binary())], names=["key", "first", "count", "route", "content", "body"]
                 )
 
-    return docs.select("key", "text").mapInArrow(run, "key long, first long, count int, route long, content long, body binary")
+    return docs.select("key", "text").mapInArrow(runtime.trimmed(run), "key long, first long, count int, route long, content long, body binary")
 
 
 #: judge(bodies, counts): for each body (of one task's routes, whole routes together), which of its windows repeat.
@@ -286,7 +286,7 @@ def verdicts(contents: DataFrame, kind, judge: Judge, shard: int) -> DataFrame:
             yield from finish(np.array(routes), rows)
 
     dealt = contents.repartition("route").sortWithinPartitions("route", "content")
-    return dealt.mapInArrow(run, "route long, content long, copies long, marks binary")
+    return dealt.mapInArrow(runtime.trimmed(run), "route long, content long, copies long, marks binary")
 
 
 def spans(found: DataFrame, length: int) -> DataFrame:
@@ -304,7 +304,7 @@ def spans(found: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(out, pa.binary())], names=["key", "spans"])
 
     rows = found.groupBy("key").agg(F.collect_list(F.struct("first", "marks")).alias("rows"))  # of one document
-    return rows.select("key", F.col("rows.first").alias("firsts"), F.col("rows.marks").alias("marks")).mapInArrow(run, "key long, spans binary")
+    return rows.select("key", F.col("rows.first").alias("firsts"), F.col("rows.marks").alias("marks")).mapInArrow(runtime.trimmed(run), "key long, spans binary")
 
 
 def repeated_spans(docs: DataFrame, kind, judge: Judge, shard: int, crowd: int = CROWD) -> tuple[DataFrame, int, int]:

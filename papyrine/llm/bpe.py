@@ -11,6 +11,7 @@ an empty input gives no rows; other columns of the input are ignored by encode_d
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ _S = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The byte-level pre-tokenizer's pattern (a fixed value of the public vocabulary).
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 #: Distinct words that a worker remembers; beyond it the table starts anew.
-MAX_WORDS = 400_000
+MAX_WORDS = 200_000
 
 
 def vocabulary_path() -> str:
@@ -66,7 +67,7 @@ class WordTable:
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.ids: list[list[int]] = []
+        self.ids: list[array] = []
 
     def codes(self, words: list[str]) -> np.ndarray:
         """The place of each word in the table; new words are encoded here, once."""
@@ -77,7 +78,7 @@ class WordTable:
         if new:
             for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
                 known[w] = len(self.ids)
-                self.ids.append(e.ids)
+                self.ids.append(array("I", e.ids))
         return np.fromiter((known[w] for w in words), np.int64, len(words))
 
 
@@ -109,7 +110,7 @@ def encode_block(words: pa.ListArray, table: WordTable) -> tuple[np.ndarray, np.
     code = table.codes(flat.dictionary.to_pylist())
     lists = [table.ids[k] for k in code]
     lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-    own = np.fromiter((i for x in lists for i in x), np.uint32, int(lengths.sum()))
+    own = np.frombuffer(b"".join(x.tobytes() for x in lists), np.uint32)
     starts = np.cumsum(lengths) - lengths
     at = flat.indices.to_numpy()
     ids = _gather(own, starts[at], lengths[at])
@@ -162,7 +163,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
             yield pa.RecordBatch.from_pydict(out)
 
     words = docs.select(F.col(id_col), words_column(F.col(text_col), specials).alias("words"))
-    return words.mapInArrow(blocks, schema)
+    return words.mapInArrow(runtime.trimmed(blocks), schema)
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

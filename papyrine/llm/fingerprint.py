@@ -207,14 +207,14 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.select(id_col, text_col).repartitionByRange(parts, id_col).sortWithinPartitions(id_col, text_col)
-    done = materialize(dealt.mapInArrow(blocks, schema), "fingerprints")
+    done = materialize(dealt.mapInArrow(runtime.trimmed(blocks), schema), "fingerprints")
     full = [r.part for r in done.where("side = 'first'").select("part").sort("part").collect()]  # a number for each task
     if not full:
         return done.select(*names)
     then = spark.createDataFrame(list(zip(full, full[1:] + full[:1], strict=True)), "part int, next int")
     last = done.where("side = 'last'").select(id_col, "part", "edge").join(F.broadcast(then), "part")
     first = done.where("side = 'first'").select(F.col("part").alias("next"), F.col("edge").alias("after"))
-    met = last.join(first, "next").select(id_col, "edge", "after").mapInArrow(edges, out)
+    met = last.join(first, "next").select(id_col, "edge", "after").mapInArrow(runtime.trimmed(edges), out)
     return done.where("side is null").select(*names).union(met)
 
 

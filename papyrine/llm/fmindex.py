@@ -24,7 +24,7 @@ from papyrine.llm import runtime
 from papyrine.llm.anchors import Words, unpack, with_spans
 
 #: Bytes of words in one FM-index.
-SHARD = 3 << 20
+SHARD = 2 << 20
 WINDOW = Words.length
 
 
@@ -184,7 +184,7 @@ def _kept(docs: DataFrame, schema: T.StructType, row) -> DataFrame:
                     kept.append(w)
             yield pa.RecordBatch.from_arrays(row(batch, words, kept), names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(runtime.trimmed(run), schema)
 
 
 def spans_of(docs: DataFrame, shard: int = SHARD) -> DataFrame:

@@ -208,7 +208,7 @@ def count_grams(rows: DataFrame) -> DataFrame:
                     _, first, n = np.unique(gram_hash(columns), return_index=True, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n)), *(pa.array(c[first].astype(np.int32)) for c in columns), pa.array(n)], names=["lang", *names, "n"])
 
-    return rows.mapInArrow(blocks, f"lang string, {', '.join(f'{c} int' for c in names)}, n long").groupBy("lang", *names).agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(runtime.trimmed(blocks), f"lang string, {', '.join(f'{c} int' for c in names)}, n long").groupBy("lang", *names).agg(F.sum("n").alias("n"))
 
 
 def train(docs: DataFrame, max_docs: int = MAX_DOCS) -> Model:
@@ -238,7 +238,7 @@ def calibrate(model: Model, rows: DataFrame) -> None:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([r.tobytes() for r in scorer(batch.column("text").to_pylist())], pa.binary())], names=["lang", "logs"])
 
-    got = rows.select("lang", "text").mapInArrow(blocks, "lang string, logs binary").toArrow()
+    got = rows.select("lang", "text").mapInArrow(runtime.trimmed(blocks), "lang string, logs binary").toArrow()
     logs = np.frombuffer(b"".join(got["logs"].to_pylist()), np.float64).reshape(-1, len(model.langs))
     place = {x: k for k, x in enumerate(model.langs)}
     truth = np.array([place.get(x, -1) for x in got["lang"].to_pylist()], np.int64)
@@ -283,7 +283,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 odd[some] = loss[some] > (model.limits[best] if model.limits is not None else np.inf)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang.tolist(), pa.string()), pa.array(score), pa.array(loss, from_pandas=True), pa.array(odd)], names=["doc_id", "lang_pred", "score", "cross_entropy", "rejected"])
 
-    return docs.select("doc_id", "text").mapInArrow(blocks, f"doc_id {kind}, lang_pred string, score double, cross_entropy double, rejected boolean")
+    return docs.select("doc_id", "text").mapInArrow(runtime.trimmed(blocks), f"doc_id {kind}, lang_pred string, score double, cross_entropy double, rejected boolean")
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -184,7 +184,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS)
             x = features(batch.column("text").to_pylist()).astype(np.float16)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("label"), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "label", "x"])
 
-    rows = picked.mapInArrow(blocks, schema).toArrow().sort_by("doc_id")
+    rows = picked.mapInArrow(runtime.trimmed(blocks), schema).toArrow().sort_by("doc_id")
     x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float16).reshape(-1, WIDTH).astype(np.float32)
     return x, rows["label"].to_numpy()
 
@@ -199,7 +199,7 @@ def classify(docs: DataFrame, model: Model, columns: list[str], names: tuple[str
             score = model.score(features(batch.column("text").to_pylist()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(score), pa.array((score >= CUT).astype(np.int32))], names=[*columns, *names])
 
-    return docs.select(*dict.fromkeys([*columns, "text"])).mapInArrow(blocks, schema)
+    return docs.select(*dict.fromkeys([*columns, "text"])).mapInArrow(runtime.trimmed(blocks), schema)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +26,29 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def trimmed(blocks: Callable) -> Callable:
+    """A function over Arrow batches that gives memory back to the system when its task ends. Workers are used again by
+    later tasks, and what one operator has freed would otherwise count against the next one's."""
+
+    @wraps(blocks)
+    def run(batches):
+        try:
+            yield from blocks(batches)
+        finally:
+            import gc
+
+            import pyarrow as pa
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -94,7 +94,7 @@ def with_fingerprint(docs: DataFrame, width: int, text_col: str = "text", column
             more = [pa.array([p.view(np.int64) for p in parts], pa.list_(pa.int64()))] if pieces else []
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(fp.view(np.int64)), *more], names=schema.names)
 
-    return docs.select(*dict.fromkeys([*columns, text_col])).mapInArrow(blocks, schema)
+    return docs.select(*dict.fromkeys([*columns, text_col])).mapInArrow(runtime.trimmed(blocks), schema)
 
 
 def cells_of(fps: np.ndarray) -> np.ndarray:
@@ -106,6 +106,7 @@ def cells_of(fps: np.ndarray) -> np.ndarray:
     return np.concatenate([own[:, None], own[:, None] + step, own[:, None] - step], axis=1)
 
 
+@runtime.trimmed
 def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         fp = batch.column("fp").to_numpy()
@@ -222,7 +223,7 @@ def similar(docs: DataFrame, marked: DataFrame, groups: DataFrame, n: int, width
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([shingle_set(t, width).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], names=["doc_id", "shingles"])
 
     own = attach(docs.select("doc_id", "text"), needed, "doc_id", m, 24, "inner", salts=1).dropDuplicates(["doc_id"])
-    own = materialize(own.mapInArrow(sets, "doc_id long, shingles binary"), "sets")
+    own = materialize(own.mapInArrow(runtime.trimmed(sets), "doc_id long, shingles binary"), "sets")
     often = pairs.groupBy("b").agg(F.count("*").alias("n")).withColumn("salts", F.ceil(F.col("n") / 1000).cast("int"))
     dealt = attach(pairs, often.select("b", "salts"), "b", m, 24, "inner").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int"))
     members = dealt.select("b", "salt", F.col("a").alias("doc_id"))
@@ -244,7 +245,7 @@ def similar(docs: DataFrame, marked: DataFrame, groups: DataFrame, n: int, width
                         b.append(rep)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    out = rows.repartition("b", "salt").sortWithinPartitions("b", "salt", "member").mapInArrow(compare, "a long, b long")
+    out = rows.repartition("b", "salt").sortWithinPartitions("b", "salt", "member").mapInArrow(runtime.trimmed(compare), "a long, b long")
     out = materialize(out, "similar")
     release(firsts, stars, pairs, needed, own)
     return out

@@ -208,4 +208,4 @@ def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
                 digest.append(h.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n, removed, count)), pa.array(digest, pa.string())], names=schema.names)
 
-    return marked.mapInArrow(run, schema)
+    return marked.mapInArrow(runtime.trimmed(run), schema)
