@@ -39,6 +39,24 @@ def drop_overprints(glyphs: DataFrame, params: LayoutParams = LayoutParams()) ->
     return glyphs.withColumn("_dup", F.coalesce(same, F.lit(False))).where("not _dup").drop("_dup")
 
 
+#: Letters that one glyph may stand for (fixed values).
+LIGATURES = {"ff": "ﬀ", "fi": "ﬁ", "fl": "ﬂ", "ffi": "ﬃ", "ffl": "ﬄ", "st": "ﬆ"}
+
+
+def recombine_ligatures(glyphs: DataFrame) -> DataFrame:
+    """A glyph and the continuations after it (column cont) become one, if they spell a ligature; others stay."""
+    w = Window.partitionBy("doc", "page").orderBy("gidx")
+    g = glyphs.withColumn("_set", F.sum((~F.col("cont")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = Window.partitionBy("doc", "page", "_set")
+    g = g.withColumn("_n", F.count("*").over(whole)).withColumn("_text", F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("gidx", "c")).over(whole)), lambda x: x["c"]), ""))
+    one = F.lit(None).cast("string")
+    for text, glyph in LIGATURES.items():
+        one = F.when(F.col("_text") == text, glyph).otherwise(one)
+    g = g.withColumn("_one", F.when(F.col("_n") > 1, one)).withColumn("_end", F.max("qx").over(whole))
+    kept = g.where("_one is null or not cont")
+    return kept.withColumn("c", F.coalesce("_one", "c")).withColumn("qx", F.when(F.col("_one").isNotNull(), F.col("_end")).otherwise(F.col("qx"))).select(*glyphs.columns)
+
+
 def clip(glyphs: DataFrame, box: tuple[float, float, float, float], params: LayoutParams = LayoutParams()) -> DataFrame:
     """Glyphs whose box touches `box`; apply it before grouping, as a glyph left out does not move the pen."""
     x0, y0, x1, y1 = box

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from papyrine.functions import geometry, text
-from papyrine.operators import exports, frames, markdown, order, render, search, spatial, statistics, tables
+from papyrine.operators import exports, frames, markdown, ocr, order, render, search, spatial, statistics, tables
 from papyrine.plans import layout, oracle
 from papyrine.sources import typeset
 from papyrine.streaming import islands
@@ -665,3 +665,42 @@ def c09_ruled_tables(spark, sf_dir):
     edges = [(True, 60.0 + 90.0 * k, 72.0, 492.0) for k in range(5)] + [(False, 72.0 + 140.0 * k, 60.0, 420.0) for k in range(4)]
     lines = spatial.literal(spark, edges, "horizontal boolean, position double, start double, stop double")
     return tables.find_tables(w.select("doc", "page").distinct().join(lines), w)
+
+
+_LIGATURES = "CASE text WHEN 'ff' THEN 'ﬀ' WHEN 'fi' THEN 'ﬁ' WHEN 'fl' THEN 'ﬂ' WHEN 'ffi' THEN 'ﬃ' WHEN 'ffl' THEN 'ﬄ' WHEN 'st' THEN 'ﬆ' END"
+
+
+@query(
+    "w04_ligatures",
+    oracle.sql(
+        f"""SELECT doc, page, gidx, c, px, qx FROM (SELECT doc, page, min(gidx) AS gidx, {_LIGATURES} AS c, min(px) AS px, max(qx) AS qx FROM (SELECT doc, page, k, min(gidx) AS gidx, min(px) AS px, max(qx) AS qx, string_agg(c, '' ORDER BY gidx) AS text FROM sets GROUP BY doc, page, k HAVING count(*) > 1) GROUP BY doc, page, k, text) WHERE c IS NOT NULL""",
+        oracle.GLYPHS,
+        """
+sets AS (SELECT *, sum((NOT cont)::INT) OVER (PARTITION BY doc, page ORDER BY gidx ROWS UNBOUNDED PRECEDING) AS k FROM (
+  SELECT *, coalesce(lag(gidx) OVER w = gidx - 1 AND lag(c) OVER w || c IN ('ff', 'fi', 'fl', 'st'), false) AS cont FROM glyphs WINDOW w AS (PARTITION BY doc, page ORDER BY gidx)))""",
+    ),
+)
+def w04_ligatures(spark, sf_dir):
+    """As if one glyph had made each f that follows an f, i or l after f, and t after s."""
+    w = Window.partitionBy("doc", "page").orderBy("gidx")
+    pair = F.concat(F.lag("c").over(w), "c").isin("ff", "fi", "fl", "st")
+    g = glyphs(spark, sf_dir).withColumn("cont", F.coalesce((F.lag("gidx").over(w) == F.col("gidx") - 1) & pair, F.lit(False)))
+    own = layout.recombine_ligatures(g)
+    return own.where(F.col("c").isin(*layout.LIGATURES.values())).select("doc", "page", "gidx", "c", "px", "qx")
+
+
+@query(
+    "w36_ocr_words",
+    oracle.on_chars(
+        """SELECT doc, page, run, CAST(row_number() OVER (PARTITION BY doc, page, run ORDER BY k) - 1 AS INTEGER) AS word, x0, y0, x1, y1, text FROM (
+  SELECT doc, page, run, k, min(x0 + step * i) AS x0, min(y0) AS y0, max(x0 + step * (i + 1)) AS x1, min(y1) AS y1, string_agg(c, '' ORDER BY i) AS text FROM (
+    SELECT *, (x1 - x0) / n AS step, sum((c = ' ')::INT) OVER (PARTITION BY doc, page, run ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM (
+      SELECT doc, page, pline AS run, x0, y0, x1, y1, length(text) AS n, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) - 1 AS i FROM line_rows)) WHERE c NOT IN (' ', chr(9), chr(13)) GROUP BY doc, page, run, k)""",
+        LINES,
+    ),
+)
+def w36_ocr_words(spark, sf_dir):
+    """Every line as a run of an OCR engine."""
+    c = chars(spark, sf_dir).withColumn("_t", frames.spaced())
+    runs = c.groupBy("doc", "page", F.col("pline").alias("run")).agg(*frames.box(), frames.ordered_text("_t", "gidx").alias("text")).withColumn("conf", F.lit(0.9))
+    return ocr.run_words(runs).drop("conf")
