@@ -28,8 +28,8 @@ MAX_BITS = 2
 #: Fingerprints of a cell that are compared with each other; larger cells go another, exact way.
 CELL = 64
 SEED = 42
-#: keep_one: shingles of a piece on average, bits beyond which documents are not compared, similarity that links.
-PIECE, FAR, SIMILARITY = 32, 20, 0.8
+#: keep_one: shingles of a piece on average, similarity that links.
+PIECE, SIMILARITY = 32, 0.8
 
 
 def shingle_hashes(text: str | None, width: int) -> list[int]:
@@ -202,8 +202,8 @@ def similar(docs: DataFrame, marked: DataFrame, groups: DataFrame, n: int, width
     """a, b: links between the first documents of components whose shingle sets have a Jaccard similarity of `least`.
 
     Documents that share a piece's fingerprint are candidates. Each piece's documents are paired with two of them, the
-    first and one by hash, so a piece in very many documents makes two pairs for each, not all pairs. Pairs whose
-    fingerprints are over FAR bits apart cannot be that similar; the others' sets are compared.
+    first and one by hash, so a piece in very many documents makes two pairs for each, not all pairs. The sets of each
+    pair are compared, whatever their fingerprints: these count repeats, which the sets do not.
     """
     firsts = attach(marked, groups.select("fp", "component"), "fp", n, 40).where("doc_id = component").dropDuplicates(["doc_id"])
     firsts = materialize(firsts.select("doc_id", "fp", "pieces"), "firsts")
@@ -213,7 +213,7 @@ def similar(docs: DataFrame, marked: DataFrame, groups: DataFrame, n: int, width
     stars = materialize(stars.select("piece", "copies", F.array(F.struct("one.doc_id", "one.fp"), F.struct("two.doc_id", "two.fp")).alias("reps")), "stars")
     met = attach_counted(spread, stars, ["piece"], stars.count(), 72)
     met = met.select(F.col("doc_id").alias("a"), "fp", F.explode("reps").alias("rep")).where("a != rep.doc_id")
-    pairs = met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("rep.fp"))) <= FAR).select("a", F.col("rep.doc_id").alias("b"))
+    pairs = met.select("a", F.col("rep.doc_id").alias("b"))
     pairs = materialize(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
     needed = materialize(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc_id"), "needed")
     m = needed.count()

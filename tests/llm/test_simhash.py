@@ -94,3 +94,25 @@ def test_keep_one(spark):
     kept = simhash.keep_one(df)
     assert kept.columns == df.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted({min(k for k in range(len(texts)) if group[k] == g) for g in group})
+
+
+def kept_and_groups(spark, texts):
+    """Ids that keep_one keeps, and the smallest ids of the groups by brute force, in sets and fingerprints."""
+    sets = [set(simhash.shingle_set(t, 5).tolist()) for t in texts]
+    fps = [brute_fp(t, 5) for t in texts]
+    near = lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 2 or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    comp = brute_components(range(len(texts)), [(a, b) for a in range(len(texts)) for b in range(a) if near(a, b)])
+    kept = simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    return sorted(r.doc_id for r in kept.collect()), sorted(set(comp.values()))
+
+
+def test_keep_one_repeated_lines(spark):
+    rng = np.random.default_rng(33)
+    texts = []
+    for _ in range(15):
+        w = ["w%d" % x for x in rng.integers(0, 5000, 300)]
+        line = ["l%d" % x for x in rng.integers(0, 5000, 8)]
+        texts += [" ".join(w), " ".join(w + line * 100)]
+    assert sum((brute_fp(a, 5) ^ brute_fp(b, 5)).bit_count() > 20 for a, b in zip(texts[::2], texts[1::2])) > 5
+    got, want = kept_and_groups(spark, texts)
+    assert got == want == list(range(0, 30, 2))
