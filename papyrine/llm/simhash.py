@@ -174,12 +174,12 @@ def links(distinct: DataFrame, cell: int = CELL) -> DataFrame:
     return found.where("b is not null").union(met).distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text", cell: int = CELL, pieces: int = 0) -> tuple[DataFrame, DataFrame, int]:
-    """(id_col, fp) of every row; (fp, component, first) for each distinct fingerprint, and their number.
+def near_duplicates(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text", cell: int = CELL, pieces: int = 0, columns: list[str] | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """(id_col, fp) of every row, with the columns named; (fp, component, first) for each distinct fingerprint, and their number.
 
     component is the smallest id that links reach, first the smallest fingerprint among them.
     """
-    marked = materialize(with_fingerprint(docs, width, text_col, [id_col], pieces=pieces), "fingerprints")
+    marked = materialize(with_fingerprint(docs, width, text_col, [id_col, *(columns or [])], pieces=pieces), "fingerprints")
     distinct = materialize(marked.groupBy("fp").agg(F.min(id_col).alias("rep")), "distinct")
     n = distinct.count()
     label = connected_components(links(distinct, cell)).withColumnRenamed("node", "fp")
@@ -252,19 +252,23 @@ def similar(docs: DataFrame, marked: DataFrame, groups: DataFrame, n: int, width
 
 
 def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
-    """docs less all but one document of each group of near-duplicates: fingerprints that link, and first documents of
-    these components whose sets of shingles are similar. The smallest id of a group stays (of equal ids, one)."""
-    tag = "_fp"
-    marked, groups, n = near_duplicates(docs, width, pieces=PIECE)
-    more = connected_components(similar(docs, marked, groups, n, width)).select(F.col("node").alias("component"), "label")
-    groups = attach(groups.select("fp", "component"), more, "component", more.count(), 40)
-    groups = materialize(groups.select("fp", F.coalesce("label", "component").alias("component")), "kept")
-    rows = with_fingerprint(docs, width, name=tag)
-    rows = attach(rows, groups.select(F.col("fp").alias(tag), F.col("component").alias("_component")), tag, n, 40)
-    kept = rows.where("doc_id <=> _component").drop(tag, "_component")
-    ids = marked.join(groups.select("component").where("component is not null").distinct(), F.col("doc_id") == F.col("component"), "left_semi")
-    ties = ids.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() or marked.where("doc_id is null").limit(2).count() > 1
-    return kept.dropDuplicates(["doc_id"]) if ties else kept
+    """docs less all but one document of each group of near-duplicates: fingerprints that link, and sets of shingles that
+    are similar. The smallest id of a group stays, an id before none; of equal ids, one by a hash of the whole row."""
+    columns = docs.columns
+    rows = docs.withColumn("_row", F.xxhash64(*[F.col(f"`{c}`") for c in columns], *[F.col(f"`{c}`").isNull() for c in columns]))
+    marked, groups, n = near_duplicates(rows, width, columns=["_row"], pieces=PIECE)
+    more = connected_components(similar(rows, marked, groups, n, width)).select(F.col("node").alias("component"), "label")
+    groups = attach(groups.select("fp", "first", "component"), more, "component", more.count(), 40)
+    group = F.struct("label", F.when(F.col("label").isNull(), F.col("first")))  # ids may be null or shared
+    groups = materialize(groups.select("fp", group.alias("group")), "kept")
+    placed = attach(marked.select("doc_id", "_row", "fp"), groups, "fp", n, 40)
+    best = placed.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("best"))
+    best = materialize(best.select("best._row").distinct(), "best")
+    m = best.count()
+    kept = attach(rows, best, "_row", m, 24, "inner")
+    if attach(marked.select("_row"), best, "_row", m, 24, "inner").count() > m:  # rows that are equal in all columns
+        kept = kept.dropDuplicates(["_row"])
+    return kept.select(*[F.col(f"`{c}`") for c in columns])
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -116,3 +116,13 @@ def test_keep_one_repeated_lines(spark):
     assert sum((brute_fp(a, 5) ^ brute_fp(b, 5)).bit_count() > 20 for a, b in zip(texts[::2], texts[1::2])) > 5
     got, want = kept_and_groups(spark, texts)
     assert got == want == list(range(0, 30, 2))
+
+
+def test_keep_one_ids(spark):
+    rng = np.random.default_rng(34)
+    text = lambda: " ".join("w%d" % x for x in rng.integers(0, 5000, 60))
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(None, a, "x"), (None, b, "x"), (None, b, "x"), (7, c, "x"), (7, d, "x"), (7, d, "x"), (8, d, "x"), (None, e, "x"), (9, e, "x"), (9, e + " ", "y")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    got = sorted(((r.doc_id, r.text.strip()) for r in kept.collect()), key=str)
+    assert got == sorted([(None, a), (None, b), (7, c), (7, d), (9, e)], key=str)
