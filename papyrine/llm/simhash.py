@@ -22,14 +22,16 @@ from pyspark.sql import types as T
 
 from papyrine.llm import runtime
 from papyrine.llm.components import connected_components
-from papyrine.llm.runtime import attach, attach_counted, materialize, release
+from papyrine.llm.runtime import attach, materialize, release
 
 MAX_BITS = 2
 #: Fingerprints of a cell that are compared with each other; larger cells go another, exact way.
 CELL = 64
 SEED = 42
-#: keep_one: shingles of a piece on average, similarity that links.
-PIECE, SIMILARITY = 32, 0.8
+#: keep_one: similarity that links, in fifths; documents whose shingles are counted and shingles known as frequent.
+FIFTHS, SAMPLE, FREQUENT = 4, 30_000, 200_000
+#: Distances, in the order of sizes, at which the members of a shingle are compared, one round for each.
+ROUNDS = [(1, 2)]
 
 
 def shingle_hashes(text: str | None, width: int) -> list[int]:
@@ -48,13 +50,10 @@ def shingle_hashes(text: str | None, width: int) -> list[int]:
     return [xx(line[a:b], SEED) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)]
 
 
-def fingerprints(texts: list[str | None], width: int, pieces: int = 0) -> tuple[np.ndarray, list[np.ndarray]]:
-    """A bit is 1 if it is set in over half the shingle hashes. With pieces, also the distinct fingerprints of each
-    text's pieces: runs of shingles that start where a shingle's hash is 0 modulo `pieces`."""
-    hashes = [shingle_hashes(t, width) for t in texts]
+def fingerprints(hashes: list[list[int]]) -> np.ndarray:
+    """A bit is 1 if it is set in over half the shingle hashes of a text."""
     counts = np.fromiter(map(len, hashes), np.int64, len(hashes))
-    out = np.zeros(len(texts), np.uint64)
-    parts = [np.zeros(0, np.uint64)] * len(texts)
+    out = np.zeros(len(hashes), np.uint64)
     full = np.flatnonzero(counts)
     at = 0
     while at < len(full):  # a few hundred thousand hashes at a time, 64 bytes each
@@ -64,39 +63,70 @@ def fingerprints(texts: list[str | None], width: int, pieces: int = 0) -> tuple[
         bits = np.unpackbits(flat.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         starts = np.cumsum(counts[own]) - counts[own]
         out[own] = _majority(np.add.reduceat(bits, starts, axis=0, dtype=np.uint32), counts[own])
-        if pieces:
-            cut = flat % np.uint64(pieces) == 0
-            cut[starts] = True
-            head = np.flatnonzero(cut)
-            size = np.diff(np.append(head, len(flat)))
-            fp = _majority(np.add.reduceat(bits, head, axis=0, dtype=np.uint32), size)
-            first = np.searchsorted(head, np.append(starts, len(flat)))
-            for k, x, y in zip(own.tolist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
-                parts[k] = np.unique(fp[x:y])
         at = to
-    return out, parts
+    return out
 
 
 def _majority(ones: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.packbits(ones * 2 > counts[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
 
 
-def with_fingerprint(docs: DataFrame, width: int, text_col: str = "text", columns: list[str] | None = None, name: str = "fp", pieces: int = 0) -> DataFrame:
-    """The columns named (all by default) and the fingerprint as a long with the same bits; with pieces, also those of
-    the pieces, in a column of that name."""
+def prefix(own: np.ndarray, often: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first shingles of a sorted set, the rarest first: two sets that are similar have one of these in common.
+
+    A set of n shares at least 4/5 n with a similar one, so it misses n // 5 at most, in any order that all sets agree on.
+    """
+    known, counts = often
+    rank = np.zeros(len(own), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+        rank = np.where(known[at] == own, counts[at], 0)
+    return own[np.argsort(rank, kind="stable")[: len(own) - (FIFTHS * len(own) + 4) // 5 + 1]]
+
+
+def with_fingerprint(docs: DataFrame, width: int, text_col: str = "text", columns: list[str] | None = None, name: str = "fp", often: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """The columns named (all by default) and the fingerprint as a long with the same bits; with often, also a digest of
+    the set of shingles (node), its size and its prefix."""
     runtime.prepare(docs.sparkSession)
     columns = docs.columns if columns is None else columns
-    schema = T.StructType([docs.schema[c] for c in columns] + [T.StructField(name, T.LongType())] + [T.StructField("pieces", T.ArrayType(T.LongType()))] * bool(pieces))
+    more = [T.StructField("node", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType()))]
+    schema = T.StructType([docs.schema[c] for c in columns] + [T.StructField(name, T.LongType())] + more * (often is not None))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest as xx
+
         for batch in batches:
-            fp, parts = fingerprints(batch.column(text_col).to_pylist(), width, pieces)
-            more = [pa.array([p.view(np.int64) for p in parts], pa.list_(pa.int64()))] if pieces else []
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(fp.view(np.int64)), *more], names=schema.names)
+            hashes = [shingle_hashes(t, width) for t in batch.column(text_col).to_pylist()]
+            fp, parts = fingerprints(hashes), []
+            if often is not None:
+                sets = [np.unique(np.array(h, np.uint64)) for h in hashes]
+                node = np.array([xx(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
+                first = [prefix(x, often).view(np.int64) if len(x) else x.view(np.int64) for x in sets]
+                parts = [pa.array(node), pa.array([len(x) for x in sets], pa.int32()), pa.array(first, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(fp.view(np.int64)), *parts], names=schema.names)
 
     return docs.select(*dict.fromkeys([*columns, text_col])).mapInArrow(runtime.trimmed(blocks), schema)
 
 
+def frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that occur most often in a sample of about SAMPLE documents, sorted, and their numbers. Which ones they
+    are decides only how many pairs are compared, not which are found."""
+    runtime.prepare(docs.sparkSession)
+    part = int((1 << 30) * min(1.0, SAMPLE / max(1, docs.count())))
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(np.array(shingle_hashes(t, width), np.uint64)) for t in batch.column("text").to_pylist()]
+            h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
+
+    own = docs.where(F.pmod(F.xxhash64("text", F.lit(91)), F.lit(1 << 30)) < part).select("text")
+    top = own.mapInArrow(runtime.trimmed(blocks), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
+    known = top["h"].to_numpy().view(np.uint64)
+    order = np.argsort(known)
+    return known[order], top["n"].to_numpy()[order]
+
+
 def cells_of(fps: np.ndarray) -> np.ndarray:
     """One row of 33 cells for each fingerprint (uint64). A cell packs the 16 counts, each plus 1, in four bits each."""
     pairs = fps - ((fps >> np.uint64(1)) & np.uint64(0x5555555555555555))
@@ -174,12 +204,12 @@ def links(distinct: DataFrame, cell: int = CELL) -> DataFrame:
     return found.where("b is not null").union(met).distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text", cell: int = CELL, pieces: int = 0, columns: list[str] | None = None) -> tuple[DataFrame, DataFrame, int]:
-    """(id_col, fp) of every row, with the columns named; (fp, component, first) for each distinct fingerprint, and their number.
+def near_duplicates(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text", cell: int = CELL, columns: list[str] | None = None, often: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """(id_col, fp) of every row, with the columns named and, with often, the prefix of its set; (fp, component, first) for each distinct fingerprint, and their number.
 
     component is the smallest id that links reach, first the smallest fingerprint among them.
     """
-    marked = materialize(with_fingerprint(docs, width, text_col, [id_col, *(columns or [])], pieces=pieces), "fingerprints")
+    marked = materialize(with_fingerprint(docs, width, text_col, [id_col, *(columns or [])], often=often), "fingerprints")
     distinct = materialize(marked.groupBy("fp").agg(F.min(id_col).alias("rep")), "distinct")
     n = distinct.count()
     label = connected_components(links(distinct, cell)).withColumnRenamed("node", "fp")
@@ -194,73 +224,159 @@ def near_duplicates(docs: DataFrame, width: int = 3, id_col: str = "doc_id", tex
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
-    """The distinct shingles' hashes, 32 bits each, sorted."""
-    return np.unique(np.array(shingle_hashes(text, width), np.uint64).astype(np.uint32))
+    """The distinct shingles' hashes, sorted."""
+    return np.unique(np.array(shingle_hashes(text, width), np.uint64))
 
 
-def similar(docs: DataFrame, marked: DataFrame, groups: DataFrame, n: int, width: int, least: float = SIMILARITY) -> DataFrame:
-    """a, b: links between the first documents of components whose shingle sets have a Jaccard similarity of `least`.
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """Rows sorted by sig: its columns, whole runs of a sig at a time, and the bounds of the runs of two rows and more."""
+    held: list[pa.RecordBatch] = []
 
-    Documents that share a piece's fingerprint are candidates. Each piece's documents are paired with two of them, the
-    first and one by hash, so a piece in very many documents makes two pairs for each, not all pairs. The sets of each
-    pair are compared, whatever their fingerprints: these count repeats, which the sets do not.
-    """
-    firsts = attach(marked, groups.select("fp", "component"), "fp", n, 40).where("doc_id = component").dropDuplicates(["doc_id"])
-    firsts = materialize(firsts.select("doc_id", "fp", "pieces"), "firsts")
-    spread = firsts.select("doc_id", "fp", F.explode("pieces").alias("piece"))
-    me = F.struct("doc_id", "fp")
-    stars = spread.groupBy("piece").agg(F.min(me).alias("one"), F.min(F.struct(F.xxhash64("doc_id", "piece").alias("h"), "doc_id", "fp")).alias("two"), F.count("*").alias("copies")).where("copies > 1")
-    stars = materialize(stars.select("piece", "copies", F.array(F.struct("one.doc_id", "one.fp"), F.struct("two.doc_id", "two.fp")).alias("reps")), "stars")
-    met = attach_counted(spread, stars, ["piece"], stars.count(), 72)
-    met = met.select(F.col("doc_id").alias("a"), "fp", F.explode("reps").alias("rep")).where("a != rep.doc_id")
-    pairs = met.select("a", F.col("rep.doc_id").alias("b"))
-    pairs = materialize(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
-    needed = materialize(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc_id"), "needed")
+    def out(rows: pa.Table) -> dict[str, np.ndarray]:
+        x = {c: rows[c].to_numpy() for c in rows.column_names}
+        start = np.flatnonzero(np.concatenate([[True], x["sig"][1:] != x["sig"][:-1]]))
+        length = np.diff(np.append(start, len(x["sig"])))
+        return x | {"length": np.repeat(length, length), "left": np.repeat(start + length, length) - np.arange(len(x["sig"])), "start": np.repeat(start, length)}
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if sum(b.num_rows for b in held) < 100_000 or held[0]["sig"][0] == batch["sig"][-1]:
+            continue
+        rows = pa.Table.from_batches(held)
+        sig = rows["sig"].to_numpy()
+        last = int(np.searchsorted(sig, sig[-1]))
+        yield out(rows.slice(0, last))
+        held = rows.slice(last).combine_chunks().to_batches()
+    if held:
+        yield out(pa.Table.from_batches(held))
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows whose sig another row has."""
+    for x in _runs(batches):
+        keep = x["length"] > 1
+        yield pa.RecordBatch.from_arrays([pa.array(x[c][keep]) for c in ("sig", "node", "size", "pos")], names=["sig", "node", "size", "pos"])
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], least: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by sig, size and node: pairs of a sig, `least` to `most` rows apart, in different groups, that sizes and
+    places let be similar. A pair passes at the first sig that it shares, where what follows bounds what it can share."""
+    names = ["a", "b", "first_a", "first_b"]
+    for x in _runs(batches):
+        node, size, pos, root, left = x["node"], x["size"].astype(np.int64), x["pos"].astype(np.int64), x["root"], x["left"]
+        other = np.zeros(len(node) + 1, np.int64)  # changes of root within runs, to leave out runs of one group
+        change = (root[1:] != root[:-1]) & (x["start"][1:] == x["start"][:-1])
+        other[2:] = np.cumsum(change) if len(node) > 1 else 0
+        ends = x["start"] + x["length"]
+        mixed = other[ends] - other[np.minimum(x["start"] + 1, len(node))] > 0
+        at, k, held, n = np.flatnonzero(mixed & (left > least)), least, [], 0
+
+        def out(held: list[np.ndarray]) -> pa.RecordBatch:
+            pairs = np.unique(np.concatenate([np.zeros((0, 4), np.int64), *held]), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, j]) for j in range(4)], names=names)
+
+        while len(at) and k <= most:
+            to = at + k
+            alike = 5 * size[at] >= FIFTHS * size[to]
+            at, to = at[alike], to[alike]  # sizes only grow from here
+            both = np.minimum(size[at] - pos[at], size[to] - pos[to])  # this sig and what follows it
+            good = ((5 + FIFTHS) * both >= FIFTHS * (size[at] + size[to])) & (root[at] != root[to])
+            i, j = at[good], to[good]
+            swap = node[i] > node[j]
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            held.append(np.stack([node[i], node[j], x["first"][i], x["first"][j]], 1))
+            n += len(i)
+            if n > 500_000:
+                yield out(held)
+                held, n = [], 0
+            k += 1
+            at = at[left[at] > k]
+        yield out(held)
+
+
+def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
+    """first_a, first_b of the pairs whose sets of shingles are similar. rows has a row's key, _row, for each node."""
+    needed = materialize(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node").join(rows, "node"), "needed")
     m = needed.count()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([shingle_set(t, width).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], names=["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([shingle_set(t, width).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], names=["node", "shingles"])
 
-    own = attach(docs.select("doc_id", "text"), needed, "doc_id", m, 24, "inner", salts=1).dropDuplicates(["doc_id"])
-    own = materialize(own.mapInArrow(runtime.trimmed(sets), "doc_id long, shingles binary"), "sets")
-    often = pairs.groupBy("b").agg(F.count("*").alias("n")).withColumn("salts", F.ceil(F.col("n") / 1000).cast("int"))
-    dealt = attach(pairs, often.select("b", "salts"), "b", m, 24, "inner").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int"))
-    members = dealt.select("b", "salt", F.col("a").alias("doc_id"))
-    heads = often.select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("b").alias("doc_id"))
-    rows = members.union(heads).join(own, "doc_id").select("b", "salt", (F.col("doc_id") != F.col("b")).alias("member"), "doc_id", "shingles")
+    own = attach(docs.select("_row", "text"), needed, "_row", m, 32, "inner", salts=1).dropDuplicates(["node"])
+    own = materialize(own.mapInArrow(runtime.trimmed(sets), "node long, shingles binary"), "sets")
+    often = materialize(pairs.groupBy("b").agg(F.count("*").alias("n")).select("b", F.ceil(F.col("n") / 1000).cast("int").alias("salts")), "often")
+    dealt = attach(pairs, often, "b", m, 24, "inner").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int"))
+    members = dealt.select("b", "salt", F.col("a").alias("node"), "first_a", "first_b")
+    heads = often.select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("b").alias("node"), F.lit(None).cast("long").alias("first_a"), F.lit(None).cast("long").alias("first_b"))
+    sides = members.union(heads).join(own, "node").select("b", "salt", (F.col("node") != F.col("b")).alias("member"), "first_a", "first_b", "shingles")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, at = np.zeros(0, np.uint32), None
+        head, at = np.zeros(0, np.uint64), None
         for batch in batches:
             a, b = [], []
-            for rep, salt, member, doc_id, raw in zip(*(batch.column(c).to_pylist() for c in batch.schema.names), strict=True):
-                own = np.frombuffer(raw, np.uint32)
+            for rep, salt, member, first_a, first_b, raw in zip(*(batch.column(c).to_pylist() for c in batch.schema.names), strict=True):
+                own = np.frombuffer(raw, np.uint64)
                 if not member:
                     head, at = own, (rep, salt)
                 elif at == (rep, salt):
                     both = len(np.intersect1d(own, head, assume_unique=True))
-                    if both >= least * (len(own) + len(head) - both):
-                        a.append(doc_id)
-                        b.append(rep)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    out = rows.repartition("b", "salt").sortWithinPartitions("b", "salt", "member").mapInArrow(runtime.trimmed(compare), "a long, b long")
-    out = materialize(out, "similar")
-    release(firsts, stars, pairs, needed, own)
+                    if 5 * both >= FIFTHS * (len(own) + len(head) - both):
+                        a.append(first_a)
+                        b.append(first_b)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["first_a", "first_b"])
+
+    out = sides.repartition("b", "salt").sortWithinPartitions("b", "salt", "member").mapInArrow(runtime.trimmed(compare), "first_a long, first_b long")
+    out = materialize(out.distinct(), "similar")
+    release(needed, own, often)
     return out
 
 
+def similar(docs: DataFrame, marked: DataFrame, groups: DataFrame, n: int, width: int) -> DataFrame:
+    """node, label: components of the groups' smallest fingerprints (first) by the links of all their documents whose
+    sets of shingles have a Jaccard similarity of 0.8.
+
+    Sets that share a shingle of their prefixes are candidates, so that none is missed. A shingle's sets are sorted by size
+    and compared in rounds, the nearest first; pairs that earlier rounds have joined are left out, all others are compared.
+    """
+    tagged = attach(marked.select("node", "size", "prefix", "fp", "_row"), groups.select("fp", "first"), "fp", n, 40).where("size > 0")
+    nodes = materialize(tagged.groupBy("node").agg(F.min("_row").alias("_row"), F.min("first").alias("first")), "nodes")
+    m = nodes.count()
+    spread = tagged.dropDuplicates(["node"]).select("node", "size", F.posexplode("prefix").alias("pos", "sig"))
+    met = spread.repartition("sig").sortWithinPartitions("sig").mapInArrow(runtime.trimmed(_shared), "sig long, node long, size int, pos int")
+    met = materialize(met, "met")
+    # documents of one set whose shingles repeat differently, so that their fingerprints differ
+    same = attach(tagged.select("node", F.col("first").alias("first_a")).distinct(), nodes.select("node", F.col("first").alias("first_b")), "node", m, 24, "inner", salts=1)
+    edges = materialize(same.where("first_a != first_b").select("first_a", "first_b").distinct(), "same")
+    label, before = connected_components(edges.toDF("a", "b")), None
+    for least, most in ROUNDS:
+        linked = label.count()
+        root = attach(nodes.select("node", "first"), label.select(F.col("node").alias("first"), "label"), "first", linked, 40)
+        root = materialize(root.select("node", "first", F.coalesce("label", "first").alias("root")), "roots")
+        rows = attach(met, root, "node", m, 40, "inner", salts=1).repartition("sig").sortWithinPartitions("sig", "size", "node")
+        pairs = rows.mapInArrow(runtime.trimmed(lambda it, x=least, y=most: _candidates(it, x, y)), "a long, b long, first_a long, first_b long").distinct()
+        pairs = materialize(pairs if before is None else pairs.join(before.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        release(root)
+        if pairs.limit(1).count():
+            found = verified(pairs, docs, nodes.select("node", "_row"), width)
+            edges = edges.union(found)
+            label = connected_components(edges.toDF("a", "b"))
+        before = pairs if before is None else before.union(pairs)
+    release(nodes, met)
+    return label
+
+
 def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
     """docs less all but one document of each group of near-duplicates: fingerprints that link, and sets of shingles that
     are similar. The smallest id of a group stays, an id before none; of equal ids, one by a hash of the whole row."""
     columns = docs.columns
     rows = docs.withColumn("_row", F.xxhash64(*[F.col(f"`{c}`") for c in columns], *[F.col(f"`{c}`").isNull() for c in columns]))
-    marked, groups, n = near_duplicates(rows, width, columns=["_row"], pieces=PIECE)
-    more = connected_components(similar(rows, marked, groups, n, width)).select(F.col("node").alias("component"), "label")
-    groups = attach(groups.select("fp", "first", "component"), more, "component", more.count(), 40)
-    group = F.struct("label", F.when(F.col("label").isNull(), F.col("first")))  # ids may be null or shared
-    groups = materialize(groups.select("fp", group.alias("group")), "kept")
+    marked, groups, n = near_duplicates(rows, width, columns=["_row"], often=frequent(docs, width))
+    more = similar(rows, marked, groups, n, width)
+    groups = attach(groups.select("fp", "first"), more.select(F.col("node").alias("first"), "label"), "first", more.count(), 40)
+    groups = materialize(groups.select("fp", F.coalesce("label", "first").alias("group")), "kept")
     placed = attach(marked.select("doc_id", "_row", "fp"), groups, "fp", n, 40)
     best = placed.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("best"))
     best = materialize(best.select("best._row").distinct(), "best")

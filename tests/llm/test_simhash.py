@@ -106,6 +106,19 @@ def kept_and_groups(spark, texts):
     return sorted(r.doc_id for r in kept.collect()), sorted(set(comp.values()))
 
 
+def test_keep_one_short_texts(spark):
+    rng = np.random.default_rng(31)
+    texts = []
+    for n in (14, 20, 30, 50, 60, 80):
+        for _ in range(20):
+            w = ["w%d" % x for x in rng.integers(0, 5000, n)]
+            other = list(w)
+            other[n // 2 if n >= 50 else -1] = "changed"
+            texts += [" ".join(w), " ".join(other)]
+    got, want = kept_and_groups(spark, texts)
+    assert got == want and len(want) <= 140
+
+
 def test_keep_one_repeated_lines(spark):
     rng = np.random.default_rng(33)
     texts = []
