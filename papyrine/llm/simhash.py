@@ -31,7 +31,7 @@ SEED = 42
 #: keep_one: similarity that links, in fifths; documents whose shingles are counted and shingles known as frequent.
 FIFTHS, SAMPLE, FREQUENT = 4, 30_000, 200_000
 #: Distances, in the order of sizes, at which the members of a shingle are compared, one round for each.
-ROUNDS = [(1, 2)]
+ROUNDS = [(1, 2), (3, 64), (65, 1 << 40)]
 
 
 def shingle_hashes(text: str | None, width: int) -> list[int]:

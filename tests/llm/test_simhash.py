@@ -119,6 +119,23 @@ def test_keep_one_short_texts(spark):
     assert got == want and len(want) <= 140
 
 
+def test_keep_one_chains(spark):
+    rng = np.random.default_rng(32)
+    texts, w = [], ["w%d" % x for x in rng.integers(0, 5000, 120)]
+    for _ in range(120):  # each version is like the one before it, few are like a fixed one
+        texts.append(" ".join(w))
+        for _ in range(2):
+            w[rng.integers(0, len(w))] = "v%d" % rng.integers(0, 5000)
+    base = ["u%d" % x for x in rng.integers(0, 5000, 250)]
+    for _ in range(120):
+        v = list(base)
+        for at in rng.integers(0, len(v), 3):
+            v[at] = "t%d" % rng.integers(0, 5000)
+        texts.append(" ".join(v))
+    got, want = kept_and_groups(spark, texts)
+    assert got == want and len(want) < 20
+
+
 def test_keep_one_repeated_lines(spark):
     rng = np.random.default_rng(33)
     texts = []
