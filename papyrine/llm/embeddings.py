@@ -3,14 +3,15 @@
 Vectors that are equal are one node with a count. Neighbour lists start from random-hyperplane codes: for each of TABLES
 codes, nodes are sorted by code and compared within overlapping runs of RUN. Rounds of NN-descent then compare the
 neighbours of each node (both ways) with each other and keep each list's best. A list in which every entry links is
-saturated and doubles, up to MOST; entries under FLOOR, twice the link's angle away, cannot lead to a link and are not
-kept. Links, and the links seen in any run, give components. The number of links of a node is then counted exactly
+saturated and doubles, up to MOST. Of a run's entries under FLOOR, twice the link's angle away, each node's WEAK best are
+kept as well: two vectors that link can share a neighbour far from both. Links, and the links seen in any run, give components. The number of links of a node is then counted exactly
 within its component, in blocks of about BLOCK: two blocks whose centres and radii prove that all or none of their pairs
-link are not multiplied. An audit compares AUDIT vectors with all vectors; while it finds less than RECALL of their links,
-more tables are added.
+link are not multiplied. An audit compares AUDIT vectors with all vectors; each one's part of links found is averaged so that a group counts as
+one, whatever its size. While the average is under RECALL, more tables are added; after TRIES times it is an error. Each
+length of vectors is handled on its own.
 
-Defined results: vectors that are null, zero, hold null or non-finite components, or are not of the table's most frequent
-length link with nothing (also not with their equals); equal vectors link; repeated rows are vectors of their own; a null
+Defined results: vectors that are null, zero, or hold null or non-finite components link with nothing (also not with their
+equals); vectors link within their length only; equal vectors link; repeated rows are vectors of their own; a null
 vec_id is counted as a partner and is not kept; an empty table gives no rows; other columns are ignored.
 """
 
@@ -30,7 +31,7 @@ from papyrine.llm.runtime import attach, materialize, release
 LINK = 0.95
 FLOOR = 2 * LINK**2 - 1
 TABLES, RUN, START, MOST, ROUNDS = 12, 256, 8, 64, 4
-BLOCK, AUDIT, RECALL, TRIES = 512, 1024, 0.995, 3
+WEAK, BLOCK, AUDIT, RECALL, TRIES = 2, 512, 1024, 0.995, 8
 #: Cosines this near the threshold are computed one by one.
 SLACK = 1e-9
 
@@ -45,17 +46,17 @@ def unit(raw: list[bytes]) -> np.ndarray:
 def nodes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(vec_id, node or null) of every row, and (node, vec, copies, rep) of every distinct vector that may link."""
     e = F.col("embedding")
-    sizes = vectors.where("size(embedding) > 0").groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
+    sizes = vectors.where("size(embedding) > 0").groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).where("n > 1").collect()
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-    ok = e.isNotNull() & (F.size(e) == (sizes[0].d if sizes else 1)) & F.forall(e, fine) & F.exists(e, lambda x: x != 0)
+    ok = e.isNotNull() & F.size(e).isin([r.d for r in sizes]) & F.forall(e, fine) & F.exists(e, lambda x: x != 0)
     wide = F.transform(e, lambda x: x.cast("double") + F.lit(0.0))  # -0.0 becomes 0.0
     rows = vectors.select("vec_id", F.when(F.coalesce(ok, F.lit(False)), wide).alias("wide"))
     rows = rows.select("vec_id", "wide", F.when(F.col("wide").isNotNull(), F.xxhash64("wide")).alias("node"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column("wide").flatten().to_numpy().reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 1))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([r.tobytes() for r in x], pa.binary()), batch.column("copies"), batch.column("rep")], names=["node", "vec", "copies", "rep"])
+            x = [np.asarray(r.values, np.float64).tobytes() for r in batch.column("wide")]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(x, pa.binary()), batch.column("copies"), batch.column("rep")], names=["node", "vec", "copies", "rep"])
 
     distinct = rows.where("node is not null").groupBy("node", "wide").agg(F.count("*").alias("copies"), F.min("vec_id").alias("rep"))
     distinct = distinct.mapInArrow(pack, "node long, vec binary, copies long, rep long")
@@ -88,7 +89,9 @@ def seeds(v: DataFrame, n: int, d: int, tables: int, first: int, run: int = RUN)
             k = min(START, len(own))
             best = np.argpartition(-s, k - 1, axis=1)[:, :k] if len(own) > k else np.tile(np.arange(len(own)), (len(own), 1))
             sim = np.take_along_axis(s, best, 1)
-            keep = sim >= FLOOR
+            order = np.argsort(-sim, axis=1)
+            best, sim = np.take_along_axis(best, order, 1), np.take_along_axis(sim, order, 1)
+            keep = ((sim >= FLOOR) | (np.arange(k) < WEAK)) & (sim > -1.5)
             u, w, sim = np.repeat(own, keep.sum(1)), own[best[keep]], sim[keep]
             near = s >= LINK
             label = np.arange(len(own))
@@ -134,7 +137,7 @@ def descend(lists: DataFrame, v: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             worst = np.array([r[3] for r in rows])
             x = unit([r[2] for r in rows])
             s = x @ x.T
-            i, j = np.nonzero((s >= FLOOR) & (s > worst[:, None]) & (own[:, None] != own[None, :]))
+            i, j = np.nonzero((s > worst[:, None]) & (own[:, None] != own[None, :]))
             return pa.RecordBatch.from_arrays([pa.array(own[i]), pa.array(own[j]), pa.array(s[i, j])], names=["u", "v", "sim"])
 
         for batch in batches:
@@ -248,7 +251,8 @@ def linked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def audit(v: DataFrame, total: int, counted: DataFrame, size: int = AUDIT) -> float:
-    """Links counted over links that exist, of about `size` vectors compared with all, in blocks."""
+    """Part of a vector's links that is counted, of about `size` vectors compared with all, in blocks. Each vector weighs
+    one over its links, so that a large group does not outweigh the small ones."""
     part = F.pmod(F.xxhash64("node", F.lit(77)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, size / max(1, total)))
     asked = v.where(part).select("node", "vec").toArrow()
     if not asked.num_rows:
@@ -266,18 +270,14 @@ def audit(v: DataFrame, total: int, counted: DataFrame, size: int = AUDIT) -> fl
 
     there = v.mapInArrow(ask, "node long, there long").groupBy("node").agg(F.sum("there").alias("there"))
     own = there.join(v.select("node", "copies"), "node").join(counted, "node", "left")
-    got = own.agg(F.sum(F.coalesce("n", "copies") - 1), F.sum(F.col("there") - 1)).first()
+    part = (F.coalesce("n", "copies") - 1) / (F.col("there") - 1)
+    got = own.where("there > 1").agg(F.sum(part / F.col("there")), F.sum(1 / F.col("there"))).first()
     shared.destroy()
     return 1.0 if not got[1] else got[0] / got[1]
 
 
-def near_duplicates(vectors: DataFrame, tables: int = TABLES, run: int = RUN, block: int = BLOCK) -> tuple[DataFrame, DataFrame, int, float]:
-    """(vec_id, node) rows; (node, n_links, component) of each distinct vector; their number; the audited recall."""
-    runtime.prepare(vectors.sparkSession)
-    rows, v = nodes(vectors.select("vec_id", "embedding"))
-    n = v.count()
-    d = len(v.first().vec) // 8 if n else 1
-    known, recall, label, counted = None, 0.0, None, None
+def _of_one_length(v: DataFrame, n: int, d: int, tables: int, run: int, block: int) -> tuple[DataFrame, float]:
+    known, label, counted = None, None, None
     for t in range(TRIES):
         found = materialize(seeds(v, n, d, tables, t * tables, run), "seeds")
         lists = descend(found.where("sim is not null"), v)
@@ -291,11 +291,26 @@ def near_duplicates(vectors: DataFrame, tables: int = TABLES, run: int = RUN, bl
         release(found, lists)
         if recall >= RECALL:
             break
+    else:
+        raise RuntimeError(f"{TRIES * tables} tables find {recall:.4f} of the links of vectors of length {d}, under {RECALL}")
     least = label.join(v, "node").groupBy("label").agg(F.min("rep").alias("component"))
     of = attach(label, materialize(least, "least"), "label", label.count(), 40)
     out = v.select("node", "copies", "rep").join(counted, "node", "left").join(of, "node", "left")
     out = out.select("node", (F.coalesce("n", "copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
-    return rows, materialize(out, "results"), n, recall
+    return materialize(out, "results"), recall
+
+
+def near_duplicates(vectors: DataFrame, tables: int = TABLES, run: int = RUN, block: int = BLOCK) -> tuple[DataFrame, DataFrame, int, float]:
+    """(vec_id, node) rows; (node, n_links, component) of each distinct vector; their number; the least audited recall."""
+    runtime.prepare(vectors.sparkSession)
+    rows, v = nodes(vectors.select("vec_id", "embedding"))
+    width = (F.length("vec") / 8).cast("int")
+    lengths = sorted((r.d, r.n) for r in v.groupBy(width.alias("d")).agg(F.count("*").alias("n")).collect())
+    out, recall = v.select("node", F.lit(0).cast("long").alias("n_links"), F.col("rep").alias("component")).limit(0), 1.0
+    for d, n in lengths:
+        one, found = _of_one_length(v if len(lengths) == 1 else materialize(v.where(width == d), "length"), n, d, tables, run, block)
+        out, recall = one if len(lengths) == 1 else out.union(one), min(recall, found)
+    return rows, out, sum(n for _, n in lengths), recall
 
 
 def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

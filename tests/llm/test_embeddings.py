@@ -53,3 +53,29 @@ def test_bounds_prove_pairs():
     rng = np.random.default_rng(1)
     x = embeddings.unit([r.tobytes() for r in rng.normal(size=(50, 8))])
     assert (embeddings.linked(x, x) == (x @ x.T >= 0.95)).all()
+
+
+def test_audit_counts_small_groups(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(101, 64))
+    x = [base[100] + rng.normal(size=64) * 0.02 for _ in range(300)] + [base[k // 2] + rng.normal(size=64) * 0.02 for k in range(200)]
+    v = spark.createDataFrame([(i, bytearray(r.tobytes()), 1, i) for i, r in enumerate(x)], "node long, vec binary, copies long, rep long")
+    found = spark.createDataFrame([(i, 300) for i in range(300)], "node long, n long")  # none of the pairs
+    assert embeddings.audit(v, len(x), found) < 0.1
+    found = found.union(spark.createDataFrame([(i, 2) for i in range(300, 500)], "node long, n long"))
+    assert embeddings.audit(v, len(x), found) == pytest.approx(1)
+
+
+def test_low_recall_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "audit", lambda *_: 0.5)
+    monkeypatch.setattr(embeddings, "TRIES", 1)
+    df = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(5)], "vec_id long, embedding array<float>")
+    with pytest.raises(RuntimeError, match="0.5"):
+        embeddings.near_duplicates(df)
+
+
+def test_each_length_on_its_own(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [0.0, 1.0]), (4, [1.0, 0.0, 0.0]), (5, [1.0, 0.1, 0.0])]
+    d, groups, n, _ = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    got = {r.vec_id: (r.n_links, r.component) for r in d.join(groups, "node").collect()}
+    assert n == 5 and got == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (1, 4), 5: (1, 4)}
