@@ -254,10 +254,12 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows whose sig another row has."""
+    """The rows whose sig another row has, and how many rows have it."""
     for x in _runs(batches):
         keep = x["length"] > 1
-        yield pa.RecordBatch.from_arrays([pa.array(x[c][keep]) for c in ("sig", "node", "size", "pos")], names=["sig", "node", "size", "pos"])
+        x["copies"] = x["length"]
+        names = ["sig", "node", "size", "pos", "copies"]
+        yield pa.RecordBatch.from_arrays([pa.array(x[c][keep]) for c in names], names=names)
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], least: int, most: int) -> Iterator[pa.RecordBatch]:
@@ -345,7 +347,7 @@ def similar(docs: DataFrame, marked: DataFrame, groups: DataFrame, n: int, width
     nodes = materialize(tagged.groupBy("node").agg(F.min("_row").alias("_row"), F.min("first").alias("first")), "nodes")
     m = nodes.count()
     spread = tagged.dropDuplicates(["node"]).select("node", "size", F.posexplode("prefix").alias("pos", "sig"))
-    met = spread.repartition("sig").sortWithinPartitions("sig").mapInArrow(runtime.trimmed(_shared), "sig long, node long, size int, pos int")
+    met = spread.repartition("sig").sortWithinPartitions("sig").mapInArrow(runtime.trimmed(_shared), "sig long, node long, size int, pos int, copies long")
     met = materialize(met, "met")
     # documents of one set whose shingles repeat differently, so that their fingerprints differ
     same = attach(tagged.select("node", F.col("first").alias("first_a")).distinct(), nodes.select("node", F.col("first").alias("first_b")), "node", m, 24, "inner", salts=1)
@@ -355,7 +357,7 @@ def similar(docs: DataFrame, marked: DataFrame, groups: DataFrame, n: int, width
         linked = label.count()
         root = attach(nodes.select("node", "first"), label.select(F.col("node").alias("first"), "label"), "first", linked, 40)
         root = materialize(root.select("node", "first", F.coalesce("label", "first").alias("root")), "roots")
-        rows = attach(met, root, "node", m, 40, "inner", salts=1).repartition("sig").sortWithinPartitions("sig", "size", "node")
+        rows = attach(met.where(F.col("copies") > least).drop("copies"), root, "node", m, 40, "inner", salts=1).repartition("sig").sortWithinPartitions("sig", "size", "node")
         pairs = rows.mapInArrow(runtime.trimmed(lambda it, x=least, y=most: _candidates(it, x, y)), "a long, b long, first_a long, first_b long").distinct()
         pairs = materialize(pairs if before is None else pairs.join(before.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
         release(root)
