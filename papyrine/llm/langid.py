@@ -31,7 +31,7 @@ from papyrine.llm import runtime
 
 ORDER, MAX_DOCS = 4, 2500
 #: Share of the sample that calibrates, and of a language's own texts that its limit may reject.
-HELD_BACK, REJECT = 5, 0.002
+HELD_BACK, REJECT, RARE = 5, 0.002, 50
 #: Grams that a worker remembers scores of.
 MAX_KNOWN = 1_000_000
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -185,14 +185,15 @@ def _hashed(column: str, mod: int):
 
 
 def sample(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
-    """lang, text, held_back: at most about max_docs rows a language that may be learnt from."""
+    """lang, text, held_back: at most about max_docs rows a language that may be learnt from. Languages with under RARE rows
+    have none held back, so that each is learnt."""
     own = docs.where("doc_id is not null and lang is not null and text is not null").where(_hashed("doc_id", 4) != 2)
     counts = {r.lang: r.n for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     part = F.lit(0)
     for lang, n in counts.items():
         part = F.when(F.col("lang") == lang, int(1_000_000 * min(1, max_docs / n))).otherwise(part)
     roll = F.xxhash64(F.col("doc_id"), F.lit("language"))
-    return own.where(F.pmod(roll, F.lit(1_000_000)) < part).select("lang", "text", (F.pmod(F.shiftright(roll, 32), F.lit(HELD_BACK)) == 0).alias("held_back"))
+    return own.where(F.pmod(roll, F.lit(1_000_000)) < part).select("lang", "text", (F.pmod(F.shiftright(roll, 32), F.lit(HELD_BACK)) == 0) & ~F.col("lang").isin([x for x, n in counts.items() if n < RARE])).toDF("lang", "text", "held_back")
 
 
 def count_grams(rows: DataFrame) -> DataFrame:

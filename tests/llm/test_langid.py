@@ -97,3 +97,11 @@ def test_nothing_learnt(spark):
     model = langid.train(docs.where("lang is null"))
     assert {r.lang_pred for r in langid.predict(docs, model).collect()} == {"und"}
     assert langid.predict(docs.where("false"), model).count() == 0
+
+
+def test_rare_languages_are_learnt(spark):
+    docs = spark.createDataFrame([(i, "l%d" % i, "some words of it") for i in range(60)], "doc_id long, lang string, text string")
+    rows = langid.sample(docs).collect()
+    assert len(rows) > 30 and not any(r.held_back for r in rows)
+    docs = spark.createDataFrame([(i, "one", "some words of it") for i in range(300)], "doc_id long, lang string, text string")
+    assert any(r.held_back for r in langid.sample(docs).collect())
