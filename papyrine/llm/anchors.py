@@ -27,8 +27,9 @@ from papyrine.llm.runtime import attach, attach_counted, materialize, release
 #: Units that are hashed at a time; a longer text is taken in overlapping pieces, cut between windows.
 BLOCK = 1 << 20
 MAX_BITS, CHUNKS = 1 << 29, 1024
-#: An anchor is crowded if it has more distinct contents than this, and more than this part of all.
-CROWD, CROWD_PART = 2000, 1 / 20_000
+#: An anchor is crowded if it has more distinct contents than CROWD. Their list goes to the tasks, MAX_CROWDED at most:
+#: with over CROWD * MAX_CROWDED contents the limit rises so that no more can reach it.
+CROWD, MAX_CROWDED = 2000, 4_000_000
 _B = 0x9E3779B97F4A7C15
 _BACK = pow(_B, -1, 1 << 64)
 
@@ -124,6 +125,10 @@ class Words:
         gaps = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
         return line, np.append(0, gaps + 1), np.append(gaps, len(line))
 
+    @classmethod
+    def windows(cls, body: bytes) -> int:
+        return body.count(b" ") + 2 - cls.length
+
     @staticmethod
     def hashes(line: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         r = Rolling(np.frombuffer(line, np.uint8).astype(np.uint64) + np.uint64(1))
@@ -142,6 +147,10 @@ class Bytes:
         at = np.arange(len(line))
         return line, at, at + 1
 
+    @classmethod
+    def windows(cls, body: bytes) -> int:
+        return len(body) + 1 - cls.length
+
     @classmethod
     def hashes(cls, line: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return cls.table[np.frombuffer(line, np.uint8)]
@@ -229,7 +238,7 @@ def candidates(docs: DataFrame, kind, shared) -> DataFrame:
                 slot = (s.anchor & mask).astype(np.int64)
                 keep = np.flatnonzero(bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
                 first, count, text, route, content = (x[keep] for x in (s.first, s.count, s.text, s.anchor, s.content))
-                if len(crowded) and (many := np.isin(route, crowded)).any():
+                if len(crowded) and (many := crowded[np.minimum(np.searchsorted(crowded, route), len(crowded) - 1)] == route).any():
                     each = np.repeat(np.flatnonzero(many), count[many])
                     at = np.arange(len(each)) - np.repeat(np.cumsum(count[many]) - count[many], count[many])
                     one = first[each] + at
@@ -263,10 +272,12 @@ def verdicts(contents: DataFrame, kind, judge: Judge, shard: int) -> DataFrame:
         content, copies, bodies = (list(x) for x in zip(*rows, strict=True))
         copies = np.array(copies)
         _, group, members = np.unique(routes, return_inverse=True, return_counts=True)
-        idle = (members[group] == 1) & (copies == 1)  # nothing to be equal to
-        own = np.flatnonzero(~idle)
+        # a content that occurs twice repeats in all its windows; one alone on its route has nothing to be equal to
+        once = np.bincount(group, weights=copies == 1)[group] > 0
+        own = np.flatnonzero((members[group] > 1) & once)
         marks = judge([bodies[k] for k in own], copies[own], routes[own]) if len(own) else []
         some = [(k, m) for k, m in zip(own.tolist(), marks, strict=True) if m.any()]
+        some += [(k, np.ones(kind.windows(bodies[k]), bool)) for k in np.flatnonzero((copies > 1) & ~((members[group] > 1) & once)).tolist()]
         if some:
             at = [k for k, _ in some]
             yield pa.RecordBatch.from_arrays([pa.array(routes[at]), pa.array([content[k] for k in at]), pa.array(copies[at]), pa.array([np.packbits(m, bitorder="little").tobytes() for _, m in some], pa.binary())], names=["route", "content", "copies", "marks"])
@@ -314,7 +325,7 @@ def repeated_spans(docs: DataFrame, kind, judge: Judge, shard: int, crowd: int =
     seen = seen.groupBy("anchor").agg(F.sum("n").alias("n"), F.count("*").alias("contents")).where("n > 1")
     seen = materialize(seen, "anchors")
     n, most = seen.agg(F.count("*"), F.sum("contents")).first()
-    crowded = seen.where(F.col("contents") > max(crowd, int((most or 0) * CROWD_PART))).select("anchor").toArrow()["anchor"].to_numpy()
+    crowded = seen.where(F.col("contents") > max(crowd, (most or 0) // MAX_CROWDED)).select("anchor").toArrow()["anchor"].to_numpy()
     shared = spark.sparkContext.broadcast((bitmap(seen, n), np.sort(crowded.view(np.uint64))))
     found = materialize(candidates(docs, kind, shared), "candidates")
     contents = found.groupBy("route", "content").agg(F.count("*").alias("copies"), F.first("body", ignorenulls=True).alias("body"))

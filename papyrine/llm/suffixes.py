@@ -3,8 +3,8 @@
 Candidates come from papyrine.llm.anchors. Each shard of them gets a suffix array by Larsson and Sadakane's refinement
 (only suffixes whose order is still open are sorted again, by the rank of the suffix that follows twice as far) and common
 prefixes with neighbours by Kasai's rule, in many lanes at once. A suffix whose common prefix with a neighbour reaches 400
-is repeated. Where a group of candidates spans shards, each shard's windows are searched for in the others' suffix arrays
-by bisection.
+is repeated. Shards hold whole groups of candidates; where one group spans several, each shard's windows are searched for
+in the others' suffix arrays by bisection.
 
 Defined results: a null text is empty; strings never cross documents; a repeated row is an occurrence elsewhere; texts
 under 400 bytes keep all; what is left of a text need not be valid UTF-8 and is hashed as bytes; an empty table gives no
@@ -30,6 +30,23 @@ WINDOW = Bytes.length
 LANE = 64
 
 
+def _sorted(major: np.ndarray, width: int, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """places by (major, place), and where major changes. major has `width` bits; with the place it mostly fits into one
+    word, and sorting words is several times faster than sorting their order."""
+    bits = int(places.max()).bit_length() if len(places) else 1
+    if width + bits <= 64:
+        packed = (major << np.uint64(bits)) | places.astype(np.uint64)
+        packed.sort()
+        order = (packed & np.uint64((1 << bits) - 1)).astype(places.dtype)
+        major = packed >> np.uint64(bits)
+    else:
+        by = np.lexsort((places, major))
+        order, major = places[by], major[by]
+    new = np.ones(len(order), bool)
+    new[1:] = major[1:] != major[:-1]
+    return order, new
+
+
 class SuffixArray:
     """Of segments; a suffix ends with its segment, and equal suffixes are in the order of their places."""
 
@@ -37,9 +54,8 @@ class SuffixArray:
         size = np.array([len(b) for b in bodies], np.int64)
         self.bounds = np.concatenate([[0], np.cumsum(size)])
         data = np.frombuffer(b"".join(bodies), np.uint8)
-        n = len(data)
-        self.n = n
-        self.left = np.repeat(self.bounds[1:], size) - np.arange(n)  # bytes to the end of the segment
+        self.n = n = len(data)
+        self.left = (np.repeat(self.bounds[1:], size) - np.arange(n)).astype(np.int32)  # bytes to the end of the segment
         padded = np.concatenate([data, np.zeros(8, np.uint8)])
         self.words = np.zeros(n, np.uint64)  # the eight bytes from each place, the first one highest
         for k in range(8):
@@ -47,75 +63,66 @@ class SuffixArray:
         self.order, self.rank = self._refine()
 
     def _refine(self) -> tuple[np.ndarray, np.ndarray]:
-        n = self.n
-        short = self.left < 7
-        cut = np.where(short, np.uint64(64) - np.uint64(8) * np.minimum(self.left, 7).astype(np.uint64), np.uint64(8))
-        key = (self.words >> cut << cut) | np.minimum(self.left, 7).astype(np.uint64)  # seven bytes and how many count
-        order = np.argsort(key, kind="stable")
-        s = key[order]
-        new = np.ones(n, bool)
-        new[1:] = (s[1:] != s[:-1]) | short[order][1:]
-        head = np.flatnonzero(new)
-        rank = np.empty(n, np.int64)
-        group = np.repeat(head, np.diff(np.append(head, n)))
-        rank[order] = group
-        depth = 7
+        """Groups of suffixes whose first `depth` bytes are equal are ordered by the rank of what follows these, and
+        depth doubles, until every group has one member."""
+        n, depth = self.n, 5
+        count = np.minimum(self.left, depth).astype(np.uint64)
+        keep = np.uint64(64) - np.uint64(8) * count
+        key = ((self.words >> keep << keep) >> np.uint64(24)) << np.uint64(3) | count  # five bytes and how many count
+        order, new = _sorted(key, 43, np.arange(n, dtype=np.int32))
+        new[1:] |= self.left[order[1:]] < depth  # equal suffixes that end: by their places
+        rank = np.empty(n, np.int32)
+        at, own, bits = np.arange(n, dtype=np.int32), order, n.bit_length()  # at: places in the order that are still open
         while True:
-            size = np.diff(np.append(head, n))
-            open_ = np.flatnonzero(np.repeat(size > 1, size))
-            if not len(open_):
+            head = np.maximum.accumulate(np.where(new, at, 0))
+            order[at] = own
+            rank[own] = head
+            alone = new & np.append(new[1:], True)
+            at, own, head = at[~alone], own[~alone], head[~alone]
+            if not len(at):
                 return order, rank
-            own = order[open_]
-            far = own + depth
-            inside = self.left[own] > depth
-            after = np.where(inside, rank[np.minimum(far, n - 1)], 0)
-            key = rank[own] * (n + 1) + np.where(inside, after + 1, 0)
-            by = np.argsort(key, kind="stable")
-            order[open_] = own = own[by]
-            key = key[by]
-            new = np.zeros(n, bool)
-            new[head] = True
-            differ = np.ones(len(own), bool)
-            differ[1:] = (key[1:] != key[:-1]) | ~inside[by][1:]
-            new[open_[differ]] = True
-            head = np.flatnonzero(new)
-            group = np.repeat(head, np.diff(np.append(head, n)))
-            rank[order[open_]] = group[open_]
+            after = np.where(self.left[own] > depth, rank[np.minimum(own + depth, n - 1)] + 1, 0)
+            own, new = _sorted(head.astype(np.uint64) << np.uint64(bits) | after.astype(np.uint64), 2 * bits, own)
+            new[1:] |= self.left[own[1:]] <= depth
             depth *= 2
 
-    def common(self, a: np.ndarray, b: np.ndarray, known: np.ndarray) -> np.ndarray:
-        """Common prefix of the suffixes at a and b, of which `known` bytes are equal."""
-        most = np.minimum(self.left[a], self.left[b])
+    def common(self, a: np.ndarray, b: np.ndarray, known: np.ndarray, most: int = 1 << 30) -> np.ndarray:
+        """Common prefix, `most` at most, of the suffixes at a and b, of which `known` bytes are equal."""
+        limit = np.minimum(np.minimum(self.left[a], self.left[b]), most)
         out = known.copy()
-        go = np.flatnonzero(out < most)
+        go = np.flatnonzero(out < limit)
         while len(go):
             x, y = a[go] + out[go], b[go] + out[go]
             differ = self.words[x] ^ self.words[y]
             same = differ == 0
-            lead = _leading_bytes(differ)
-            out[go] = np.minimum(most[go], out[go] + np.where(same, 8, lead))
-            go = go[same & (out[go] < most[go])]
+            out[go] = np.minimum(limit[go], out[go] + np.where(same, 8, _leading_bytes(differ)))
+            go = go[same & (out[go] < limit[go])]
         return out
 
-    def prefixes(self) -> np.ndarray:
-        """For each rank the common prefix with the suffix before it. Lanes of LANE places each go left to right: a
-        place's common prefix is at least that of the place before it, less one (Kasai's rule)."""
-        n = self.n
-        out = np.zeros(n, np.int64)
-        before = np.full(n, -1)
+    def prefixes(self, least: int = 1) -> np.ndarray:
+        """For each rank the common prefix with the suffix before it; where `least` is over 1, only whether it reaches
+        `least` has to be right. Lanes of LANE places each go left to right: a place's common prefix is at least that of
+        the place before it, less one (Kasai's rule). Suffixes under `least` bytes are left out."""
+        n, most = self.n, least if least > 1 else 1 << 30
+        out = np.zeros(n, np.int32)
+        before = np.full(n, -1, np.int32)
         before[self.order[1:]] = self.order[:-1]
-        lanes = np.arange(0, n, LANE)
-        known = np.zeros(len(lanes), np.int64)
+        places = np.flatnonzero(self.left >= least)
+        follows = np.concatenate([[False], places[1:] == places[:-1] + 1]) if len(places) else np.zeros(0, bool)
+        lanes = np.arange(0, len(places), LANE)
+        known = np.zeros(len(lanes), np.int32)
         for k in range(LANE):
-            at = lanes + k
-            live = at < n
-            at, known, lanes = at[live], known[live], lanes[live]
+            live = lanes + k < len(places)
+            lanes, known = lanes[live], known[live]
+            at = places[lanes + k]
             prev = before[at]
-            known = np.where(prev >= 0, np.minimum(known, np.minimum(self.left[at], self.left[np.maximum(prev, 0)])), 0)
-            some = prev >= 0
-            known[some] = self.common(at[some], prev[some], known[some])
-            out[self.rank[at]] = known
-            known = np.maximum(known - 1, 0)
+            known = np.where(follows[lanes + k], known, 0)
+            some = np.flatnonzero((prev >= 0) & (self.left[np.maximum(prev, 0)] >= least))
+            now = np.zeros(len(at), np.int32)
+            a, b = at[some], prev[some]
+            now[some] = self.common(a, b, np.minimum(known[some], np.minimum(self.left[a], self.left[b])), most)
+            out[self.rank[at]] = now
+            known = np.maximum(now - 1, 0)
         return out
 
     def holds(self, other: SuffixArray, at: np.ndarray) -> np.ndarray:
@@ -149,41 +156,51 @@ class SuffixArray:
 
 def _leading_bytes(x: np.ndarray) -> np.ndarray:
     """How many of the highest bytes are zero."""
-    out = np.zeros(len(x), np.int64)
-    for k in range(7, 0, -1):
-        out += (x >> np.uint64(8 * k)) == 0
-    return out
+    high = x >> np.uint64(32)
+    length = np.frexp(np.where(high > 0, high, x & np.uint64(0xFFFFFFFF)).astype(np.float64))[1]  # in bits
+    return np.where(high > 0, 4, 8) - ((length + 7) >> 3)
+
+
+def shards_of(size: np.ndarray, routes: np.ndarray, shard: int) -> Iterator[list[tuple[int, int]]]:
+    """Ranges of bodies, one list for each suffix array's worth of whole routes; a route beyond that has several."""
+    ends = np.flatnonzero(np.append(routes[1:] != routes[:-1], True)) + 1
+    total = np.concatenate([[0], np.cumsum(size)])
+    first, last = 0, 0
+    for end in ends.tolist():
+        if last > first and total[end] - total[first] > shard:
+            yield [(first, last)]
+            first = last
+        last = end
+        if total[last] - total[first] > shard:  # one route
+            cut = [first]
+            for k in range(first + 1, last):
+                if total[k + 1] - total[cut[-1]] > shard:
+                    cut.append(k)
+            yield list(zip(cut, [*cut[1:], last], strict=True))
+            first = last
+    if last > first:
+        yield [(first, last)]
 
 
 def judge(bodies: list[bytes], copies: np.ndarray, routes: np.ndarray, shard: int = SHARD) -> list[np.ndarray]:
-    """Which windows of each body repeat. Only bodies of one route can share a window."""
+    """Which windows of each body repeat. Only bodies of one route can share a window; rows of a route follow each other."""
     size = np.array([len(b) for b in bodies], np.int64)
-    cut = [0]
-    total = 0
-    for k, s in enumerate(size.tolist()):
-        if total and total + s > shard:
-            cut.append(k)
-            total = 0
-        total += s
-    cut.append(len(bodies))
     marks: list[np.ndarray] = []
-    shards = []
-    for a, b in zip(cut[:-1], cut[1:], strict=True):
-        array = SuffixArray(bodies[a:b])
-        prefix = np.append(array.prefixes(), 0)
-        own = np.maximum(prefix[:-1], prefix[1:])[array.rank] >= WINDOW
-        many = np.repeat(copies[a:b] > 1, size[a:b])
-        hit = (own | many) & (array.left >= WINDOW)
-        shards.append((array, hit, a, b))
-    for i, (array, hit, a, b) in enumerate(shards):  # groups that span shards
-        for j, (other, _, c, d) in enumerate(shards):
-            if i != j and (common := np.intersect1d(routes[a:b], routes[c:d])).size:
-                mine = np.repeat(np.isin(routes[a:b], common), size[a:b])
-                at = np.flatnonzero(mine & ~hit & (array.left >= WINDOW))
-                hit[at] |= other.holds(array, at)
-    for array, hit, a, b in shards:
-        for k in range(b - a):
-            marks.append(hit[array.bounds[k] : max(array.bounds[k], array.bounds[k + 1] - WINDOW + 1)])
+    for parts in shards_of(size, routes, shard):
+        made = []
+        for a, b in parts:
+            array = SuffixArray(bodies[a:b])
+            reach = np.append(array.prefixes(WINDOW) >= WINDOW, False)
+            own = (reach[:-1] | reach[1:])[array.rank]
+            made.append((array, (own | np.repeat(copies[a:b] > 1, size[a:b])) & (array.left >= WINDOW)))
+        for i, (array, hit) in enumerate(made):  # a route that spans shards: windows are searched for in the others
+            for j, (other, _) in enumerate(made):
+                if i != j:
+                    at = np.flatnonzero(~hit & (array.left >= WINDOW))
+                    hit[at] |= other.holds(array, at)
+        for array, hit in made:
+            for x, y in zip(array.bounds[:-1].tolist(), array.bounds[1:].tolist(), strict=True):
+                marks.append(hit[x : max(x, y - WINDOW + 1)])
     return marks
 
 
