@@ -1,13 +1,16 @@
 """URL filter: rules on host and path, and trust that spreads over the links between hosts.
 
 Pages that a rule fits take its verdict. The others take their host's: personalised PageRank carries trust from hosts
-with allowed pages along links, and distrust from hosts with blocked pages against links. A host's seed is its number of
-allowed (blocked) pages; a host without links that way keeps its mass. A host is blocked if distrust less trust exceeds
-MARGIN times its number of pages. Only DataFrame and SQL functions run.
+with allowed pages along links, and distrust from hosts with blocked pages against links, to the hosts that link to them.
+A host's seed is its number of allowed (blocked) pages; a host without links that way keeps its mass. A host is blocked if
+distrust less trust exceeds MARGIN times its number of pages: without any link between hosts, that is if over MARGIN of
+its pages are blocked by rules, less those allowed. Rounds go on until no host's score changes by more than TOLERANCE times
+its number of pages; not to settle within ROUNDS is an error. Only DataFrame and SQL functions run.
 
 Defined results: a null url, or one without `://`, has an empty host and path, fits no rule and is allowed; hosts are
-lower-cased in A-Z only; html may be null or empty; repeated pages count as often as they occur; an empty table gives no
-rows; other columns are ignored.
+lower-cased in A-Z only; html may be null or empty; relative links, links within a host and links without a host carry
+nothing; linked hosts without a page carry scores on; repeated pages count as often as they occur; a null page_id is an id
+like any other; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ RULES = [
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 ]
-DAMPING, ROUNDS, TOLERANCE, MARGIN = 0.85, 30, 1e-4, 0.5
+DAMPING, ROUNDS, TOLERANCE, MARGIN = 0.85, 300, 1e-4, 0.25
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Host of each absolute link in a page; links within the page's own host carry nothing between hosts.
 _LINK = r"""(?i)\shref\s*=\s*["']?\s*(?:https?:)?//([^/?#"'>\s]+)"""
@@ -58,12 +61,13 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def host_scores(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """host, trust, distrust from seeds (host, allowed, blocked) and edges (source, target, n).
+    """host, trust, distrust from seeds (host, pages, allowed, blocked) and edges (source, target, n).
 
     Both flows are one frame with a column `flow`: trust goes from source to target, distrust from target to source.
     """
     edges = materialize(edges, "edges")
     seeds = materialize(seeds, "seeds")
+    many_seeds = seeds.count()
     both = edges.select(F.lit("t").alias("flow"), F.col("source").alias("from"), F.col("target").alias("to"), "n")
     both = both.union(edges.select(F.lit("d"), "target", "source", "n"))
     out = both.groupBy("flow", "from").agg(F.sum("n").alias("all"))
@@ -78,7 +82,6 @@ def host_scores(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, ro
         share = materialize(share.select("flow", "key", F.col("to"), (F.col("n") / F.col("all")).alias("w")), "shares")
         holds = materialize(out.select(key("flow", "from").alias("key")), "holds")
         now = materialize(start.select("flow", "host", F.col("seed").alias("score")), "scores")
-        mass = start.agg(F.sum("seed")).first()[0] or 0.0
         for _ in range(rounds):
             hosts = now.count()
             held = now.withColumn("key", key("flow", "host"))
@@ -86,11 +89,15 @@ def host_scores(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, ro
             rest = attach(held, holds.withColumn("linked", F.lit(True)), "key", many, 120).where("linked is null").select("flow", "host", (damping * F.col("score")).alias("x"))
             jump = start.select("flow", "host", ((1 - damping) * F.col("seed")).alias("x"))
             after = materialize(moved.union(rest).union(jump).groupBy("flow", "host").agg(F.sum("x").alias("score")), "scores")
-            delta = after.union(now.select("flow", "host", -F.col("score"))).groupBy("flow", "host").agg(F.sum("score").alias("x")).agg(F.sum(F.abs("x"))).first()[0]
+            change = after.union(now.select("flow", "host", -F.col("score"))).groupBy("flow", "host").agg(F.abs(F.sum("score")).alias("x"))
+            change = attach(change, seeds.select("host", "pages"), "host", many_seeds, 120)
+            most = change.agg(F.max(F.col("x") / F.coalesce("pages", F.lit(1)))).first()[0] or 0.0
             release(now)
             now = after
-            if (delta or 0.0) <= tolerance * mass:
+            if most <= tolerance:
                 break
+        else:
+            raise RuntimeError(f"scores still change by {most} of a host's pages after {rounds} rounds")
     total = lambda f: F.coalesce(F.sum(F.when(F.col("flow") == f, F.col("score"))), F.lit(0.0))
     return now.groupBy("host").agg(total("t").alias("trust"), total("d").alias("distrust"))
 
@@ -100,7 +107,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, margin: f
     ruled = with_rule(pages.select("page_id", "url", "html"), rules)
     counts = ruled.where("host != ''").groupBy("host").agg(F.count("*").alias("pages"), F.count_if(F.col("ruled") == "allow").alias("allowed"), F.count_if(F.col("ruled") == "block").alias("blocked"))
     counts = materialize(counts, "hosts")
-    scores = host_scores(counts.select("host", "allowed", "blocked"), host_edges(ruled))
+    scores = host_scores(counts, host_edges(ruled))
     hosts = counts.join(scores, "host", "left").select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"), "pages")
     hosts = materialize(hosts.withColumn("bad", F.col("distrust") - F.col("trust") > margin * F.col("pages")), "hosts")
     pages_of = ruled.select("page_id", "host", "path", "rule", "ruled")
