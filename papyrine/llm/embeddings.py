@@ -4,11 +4,12 @@ Vectors that are equal are one node with a count. Neighbour lists start from ran
 codes, nodes are sorted by code and compared within overlapping runs of RUN. Rounds of NN-descent then compare the
 neighbours of each node (both ways) with each other and keep each list's best. A list in which every entry links is
 saturated and doubles, up to MOST. Of a run's entries under FLOOR, twice the link's angle away, each node's WEAK best are
-kept as well: two vectors that link can share a neighbour far from both. Links, and the links seen in any run, give components. The number of links of a node is then counted exactly
-within its component, in blocks of about BLOCK: two blocks whose centres and radii prove that all or none of their pairs
-link are not multiplied. An audit compares AUDIT vectors with all vectors; each one's part of links found is averaged so that a group counts as
-one, whatever its size. While the average is under RECALL, more tables are added; after TRIES times it is an error. Each
-length of vectors is handled on its own.
+kept as well: two vectors that link can share a neighbour far from both. Links, and the links seen in any run, give
+components. The number of links of a node is then counted exactly within its component, in blocks of about BLOCK on the
+same sides of hyperplanes: two blocks whose centres and radii prove that all or none of their pairs link are not
+multiplied. An audit compares AUDIT vectors with all vectors; each one's part of links found is averaged so that a group
+counts as one, whatever its size. While the average is under RECALL, more tables are added; after TRIES times it is an
+error. Each length of vectors is handled on its own.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components link with nothing (also not with their
 equals); vectors link within their length only; equal vectors link; repeated rows are vectors of their own; a null
@@ -31,7 +32,7 @@ from papyrine.llm.runtime import attach, materialize, release
 LINK = 0.95
 FLOOR = 2 * LINK**2 - 1
 TABLES, RUN, START, MOST, ROUNDS = 12, 256, 8, 64, 4
-WEAK, BLOCK, AUDIT, RECALL, TRIES = 2, 512, 1024, 0.995, 8
+WEAK, BLOCK, AUDIT, RECALL, TRIES, PARTS = 2, 512, 1024, 0.995, 8, 16
 #: Cosines this near the threshold are computed one by one.
 SLACK = 1e-9
 
@@ -153,7 +154,12 @@ def descend(lists: DataFrame, v: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     lists = materialize(best(lists.withColumn("k", F.lit(START))), "lists")
     for _ in range(rounds):
         back = lists.select(F.col("v").alias("centre"), F.col("u").alias("v"), "sim")
-        back = back.withColumn("r", F.row_number().over(Window.partitionBy("centre").orderBy(F.desc("sim"), "v"))).where(f"r <= {2 * START}").select("centre", "v")
+        # a hub is neighbour to very many: first the best of each of its parts, then the best of these
+        back = back.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(PARTS)))
+        for keys in (["centre", "part"], ["centre"]):
+            order = Window.partitionBy(*keys).orderBy(F.desc("sim"), "v")
+            back = back.withColumn("r", F.row_number().over(order)).where(f"r <= {2 * START}")
+        back = back.select("centre", "v")
         members = lists.select(F.col("u").alias("centre"), "v").union(back).union(lists.select("u", F.col("u").alias("v")).distinct()).distinct()
         # an entry has to beat the worst of a full list
         worst = lists.groupBy(F.col("u").alias("v")).agg(F.when(F.count("*") >= F.max("k"), F.min("sim")).otherwise(-2.0).alias("worst"))
@@ -168,45 +174,75 @@ def descend(lists: DataFrame, v: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return lists
 
 
-def count_links(v: DataFrame, label: DataFrame, block: int = BLOCK) -> DataFrame:
-    """node, n: for each node of a component (node, label), how many vectors of the component link to it, itself among
-    them. Blocks are compared in pairs; only pairs that bounds leave open are multiplied."""
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[dict]:
+    """Rows sorted by keys: the columns of each key's rows, as lists."""
+    held, key = None, None
+    for batch in batches:
+        rows = batch.to_pydict()
+        ids = list(zip(*(rows[k] for k in keys), strict=True))
+        cut = [0, *(k for k in range(1, len(ids)) if ids[k] != ids[k - 1]), len(ids)]
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            if a == b:
+                continue
+            part = {c: x[a:b] for c, x in rows.items()}
+            if held and key == ids[a]:
+                for c in held:
+                    held[c] += part[c]
+            else:
+                if held:
+                    yield held
+                held, key = part, ids[a]
+    if held:
+        yield held
+
+
+def blocked(v: DataFrame, label: DataFrame, block: int) -> DataFrame:
+    """node, vec, copies, label, blocks, block: members of components; those of over `block` members are dealt to blocks by
+    the sides of random hyperplanes that they are on, so that blocks are narrow, and crowded sides by a hash."""
     sizes = label.groupBy("label").agg(F.count("*").alias("size"))
     sizes = materialize(sizes.withColumn("blocks", F.ceil(F.col("size") / block)), "sizes")
     own = attach(label, sizes.select("label", "blocks"), "label", sizes.count(), 40)
-    own = own.withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), "blocks").cast("int"))
-    own = materialize(own.join(v.select("node", "vec", "copies"), "node").select("node", "vec", "copies", "label", "block", "blocks"), "members")
+    own = own.join(v.select("node", "vec", "copies"), "node").select("node", "vec", "copies", "label", "blocks")
 
-    def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[dict]:
-        held, key = None, None
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.to_pydict()
-            ids = list(zip(*(rows[k] for k in keys), strict=True))
-            cut = [0, *(k for k in range(1, len(ids)) if ids[k] != ids[k - 1]), len(ids)]
-            for a, b in zip(cut[:-1], cut[1:], strict=True):
-                if a == b:
-                    continue
-                part = {c: x[a:b] for c, x in rows.items()}
-                if held and key == ids[a]:
-                    for c in held:
-                        held[c] += part[c]
-                else:
-                    if held:
-                        yield held
-                    held, key = part, ids[a]
-        if held:
-            yield held
-
-    def balls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros(batch.num_rows, np.int64)
+            bits = np.ceil(np.log2(np.maximum(1, batch.column("blocks").to_numpy()))).astype(np.int64)
+            large = np.flatnonzero(bits)
+            if len(large):
+                x = unit(batch.column("vec").take(pa.array(large)).to_pylist())
+                planes = np.random.default_rng(7).normal(size=(x.shape[1], int(bits.max())))
+                out[large] = ((x @ planes > 0) & (np.arange(planes.shape[1]) < bits[large, None])) @ (1 << np.arange(planes.shape[1], dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, "code"])
+
+    coded = materialize(own.mapInArrow(code, "node long, vec binary, copies long, label long, blocks long, code long"), "members")
+    crowds = coded.where("blocks > 1").groupBy("label", "code").agg(F.ceil(F.count("*") / block).alias("parts"))
+    crowds = materialize(crowds.where("parts > 1"), "crowds")
+    out = attach(coded, crowds, ["label", "code"], crowds.count(), 40)
+    place = F.col("code") * (1 << 24) + F.pmod(F.xxhash64("node", F.lit(5)), F.coalesce("parts", F.lit(1)))
+    out = materialize(out.select("node", "vec", "copies", "label", "blocks", place.alias("block")), "members")
+    release(sizes, coded, crowds)
+    return out
+
+
+def count_links(v: DataFrame, label: DataFrame, block: int = BLOCK) -> DataFrame:
+    """node, n: for each node of a component (node, label), how many vectors of the component link to it, itself among
+    them. Blocks are one row each and compared in pairs; only pairs that bounds leave open are multiplied."""
+    own = blocked(v, label, block)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups(batches, ["label", "block"]):
             x = unit(g["vec"])
             c = x.sum(0)
             c = c / max(np.sqrt((c * c).sum()), 1e-300)
-            yield pa.RecordBatch.from_pydict({"label": [g["label"][0]], "block": pa.array([g["block"][0]], pa.int32()), "centre": pa.array([c.tolist()], pa.list_(pa.float64())), "radius": [float(np.arccos(np.clip(x @ c, -1, 1)).max())], "copies": [sum(g["copies"])]})
+            radius = float(np.arccos(np.clip(x @ c, -1, 1)).max())
+            cols = {"label": pa.array([g["label"][0]]), "block": pa.array([g["block"][0]]), "centre": pa.array([c.tolist()], pa.list_(pa.float64())), "radius": pa.array([radius]), "copies": pa.array([sum(g["copies"])])}
+            yield pa.RecordBatch.from_pydict(cols | {"nodes": pa.array([np.array(g["node"], np.int64).tobytes()], pa.binary()), "vecs": pa.array([x.tobytes()], pa.binary()), "counts": pa.array([np.array(g["copies"], np.int64).tobytes()], pa.binary())})
 
     many = own.where("blocks > 1").repartition("label", "block").sortWithinPartitions("label", "block")
-    ball = materialize(many.mapInArrow(balls, "label long, block int, centre array<double>, radius double, copies long"), "balls")
-    a, b = ball.alias("a"), ball.alias("b")
+    ball = materialize(many.mapInArrow(pack, "label long, block long, centre array<double>, radius double, copies long, nodes binary, vecs binary, counts binary"), "balls")
+    bounds = ball.select("label", "block", "centre", "radius", "copies")
+    a, b = bounds.alias("a"), bounds.alias("b")
     dot = F.aggregate(F.zip_with("a.centre", "b.centre", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot)))
     most, least = angle + F.col("a.radius") + F.col("b.radius"), angle - F.col("a.radius") - F.col("b.radius")
@@ -215,29 +251,32 @@ def count_links(v: DataFrame, label: DataFrame, block: int = BLOCK) -> DataFrame
     pairs = materialize(pairs.where("what != 'none'"), "pairs")
     sure = pairs.where("what = 'all'").groupBy("label", "i").agg(F.sum("copies").alias("n")).withColumnRenamed("i", "block")
     sure = own.where("blocks > 1").join(sure, ["label", "block"]).select("node", "n")
-    open_ = pairs.where("what = 'open' and i <= j").select("label", "i", "j")
-    left = own.join(open_.withColumn("block", F.col("i")), ["label", "block"]).select("label", "i", "j", F.lit(0).alias("side"), "node", "vec", "copies")
-    right = own.join(open_.where("i < j").withColumn("block", F.col("j")), ["label", "block"]).select("label", "i", "j", F.lit(1).alias("side"), "node", "vec", "copies")
-    alone = own.where("blocks = 1").select("label", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "node", "vec", "copies")
+    side = lambda s, x: ball.select("label", F.col("block").alias(s), *(F.col(c).alias(f"{c}_{x}") for c in ("nodes", "vecs", "counts")))
+    open_ = pairs.where("what = 'open' and i <= j").select("label", "i", "j").join(side("i", "a"), ["label", "i"]).join(side("j", "b"), ["label", "j"])
+    open_ = open_.select((F.col("i") == F.col("j")).alias("same"), "nodes_a", "vecs_a", "counts_a", "nodes_b", "vecs_b", "counts_b")
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in groups(batches, ["label", "i", "j"]):
-            x, n, own = unit(g["vec"]), np.array(g["copies"]), np.array(g["node"])
-            side = np.array(g["side"]) == 1
-            one, two = np.flatnonzero(~side), np.flatnonzero(side)
-            if g["i"][0] == g["j"][0]:
-                yield counts(own[one], x[one], x[one], n[one])
-            elif len(one) and len(two):
-                yield counts(own[one], x[one], x[two], n[two])
-                yield counts(own[two], x[two], x[one], n[one])
-
-    def counts(ids: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array((linked(a, b) @ n).astype(np.int64))], names=["node", "n"])
-
-    shipped = alone.union(left).union(right).repartition("label", "i", "j").sortWithinPartitions("label", "i", "j")
-    done = shipped.mapInArrow(multiply, "node long, n long").union(sure).groupBy("node").agg(F.sum("n").alias("n"))
+        for batch in batches:
+            for same, *raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ids_a, a, n_a, ids_b, b, n_b = (np.frombuffer(x, np.float64 if k % 3 == 1 else np.int64) for k, x in enumerate(raw))
+                a, b = a.reshape(len(ids_a), -1), b.reshape(len(ids_b), -1)
+                near = linked(a, b)
+                yield counts(ids_a, near @ n_b)
+                if not same:
+                    yield counts(ids_b, near.T @ n_a)
+
+    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in groups(batches, ["label"]):
+            x = unit(g["vec"])
+            yield counts(np.array(g["node"]), linked(x, x) @ np.array(g["copies"]))
+
+    def counts(ids: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n.astype(np.int64))], names=["node", "n"])
+
+    alone = own.where("blocks = 1").select("label", "node", "vec", "copies").repartition("label").sortWithinPartitions("label")
+    done = alone.mapInArrow(small, "node long, n long").union(open_.mapInArrow(multiply, "node long, n long")).union(sure).groupBy("node").agg(F.sum("n").alias("n"))
     out = materialize(done, "counts")
-    release(sizes, own, ball, pairs)
+    release(own, ball, pairs)
     return out
 
 

@@ -47,9 +47,9 @@ def features(texts: list[str | None]) -> np.ndarray:
     n = len(raw)
     out = np.zeros((n, WIDTH), np.float32)
     at = 0
-    while at < n:  # a few MB at a time
+    while at < n:  # a MB at a time: each byte takes some 80 of arrays
         to, size = at, 0
-        while to < n and (to == at or size + len(raw[to]) < 4 << 20):
+        while to < n and (to == at or size + len(raw[to]) < 1 << 20):
             size += len(raw[to])
             to += 1
         out[at:to] = _block(raw[at:to])

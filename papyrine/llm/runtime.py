@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -20,9 +21,12 @@ BROADCAST_BYTES = 48 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bounds Arrow batches of this session by rows and by bytes."""
+    """Bounds Arrow batches of this session by rows and by bytes, and has shuffle files deleted when their query ends:
+    an operator runs many queries one after the other, whose files would otherwise stay until the driver's heap is
+    collected."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     return spark
 
 
@@ -54,20 +58,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a temporary one if driver and
+    executors are one process, as in tests; otherwise an error, since executors could not read each other's files."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
     sc = spark.sparkContext
     if (set_dir := sc._jsc.sc().getCheckpointDir()).isDefined():
         return set_dir.get().rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="papyrine-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def _filesystem(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def tables_dir(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables; it goes when the driver ends, or by sweep()."""
+    path = f"{shared_dir(spark)}/papyrine/{spark.sparkContext.applicationId}"
+    fs, p = _filesystem(spark, path)
+    if not fs.exists(p):
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+    return path
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes all intermediate tables of this application. Results that are not yet written elsewhere read them."""
+    fs, p = _filesystem(spark, tables_dir(spark))
+    fs.delete(p, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df to a table in the shared folder and reads it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/papyrine/{name}-{uuid.uuid4().hex}"
+    path = f"{tables_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._papyrine_path = path
@@ -79,9 +107,8 @@ def release(*dfs: DataFrame) -> None:
     for df in dfs:
         path = getattr(df, "_papyrine_path", None)
         if path:
-            jvm = df.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession._jsc.sc().hadoopConfiguration() if hasattr(df.sparkSession, "_jsc") else df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            fs, p = _filesystem(df.sparkSession, path)
+            fs.delete(p, True)
 
 
 def attach(big: DataFrame, small: DataFrame, key: str | list[str], rows: int, row_bytes: int, how: str = "left", salts: int = 16) -> DataFrame:

@@ -309,7 +309,7 @@ def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, width: int) ->
 
     own = attach(docs.select("_row", "text"), needed, "_row", m, 32, "inner", salts=1).dropDuplicates(["node"])
     own = materialize(own.mapInArrow(runtime.trimmed(sets), "node long, shingles binary"), "sets")
-    often = materialize(pairs.groupBy("b").agg(F.count("*").alias("n")).select("b", F.ceil(F.col("n") / 1000).cast("int").alias("salts")), "often")
+    often = materialize(pairs.groupBy("b").agg(F.count("*").alias("n")).select("b", F.ceil(F.col("n") / 100).cast("int").alias("salts")), "often")
     dealt = attach(pairs, often, "b", m, 24, "inner").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int"))
     members = dealt.select("b", "salt", F.col("a").alias("node"), "first_a", "first_b")
     heads = often.select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("b").alias("node"), F.lit(None).cast("long").alias("first_a"), F.lit(None).cast("long").alias("first_b"))
