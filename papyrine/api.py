@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyrine.functions.bidi import logical_text
+from papyrine.functions.pages import select_pages
 from papyrine.operators import exports, frames, order
+from papyrine.plans import kernel
 from papyrine.plans.layout import LayoutParams, clip, drop_overprints, group_glyphs
 from papyrine.sources import pdf
 
@@ -40,15 +47,16 @@ def get_text(glyphs: DataFrame, mode: str = "text", sort: str | None = None, deh
     """Text by page, words or blocks; blocks and text in a reading order."""
     if mode not in MODES or sort not in SORTS:
         raise ValueError(f"mode is one of {MODES}, sort one of {SORTS}")
-    own = chars(glyphs, box)
+    own = drop_overprints(glyphs)
+    own = own if box is None else clip(own, box)
     if mode == "words":
-        words = frames.words(own, delimiters)
+        words = frames.words(group_glyphs(own), delimiters) if delimiters else kernel.words(own)
         return frames.dehyphenated_words(words) if dehyphenate else words
-    rows = frames.blocks(own, dehyphenate)
+    lines = kernel.lines(own)
+    rows = frames.blocks_of_lines(lines.withColumn("text", logical_text(F.col("text"))), dehyphenate)
     rows = {None: lambda b: b.withColumn("place", F.col("block")), "simple": order.simple, "xycut": order.xy_cut}[sort](rows)
     if mode == "blocks":
         return rows
-    rows = rows.withColumn("text", logical_text(F.col("text")))
     return rows.groupBy("doc", "page").agg(frames.ordered_text("text", "place", "\n").alias("text"))
 
 
@@ -71,3 +79,45 @@ def to_parquet(glyphs: DataFrame, path: str, kind: str = "words", compression: s
 def to_csv(glyphs: DataFrame, path: str, kind: str = "words") -> str:
     records(glyphs, kind).write.option("header", True).csv(path)
     return path
+
+
+def to_jsonl(glyphs: DataFrame, path: str, kind: str = "words") -> str:
+    records(glyphs, kind).write.json(path)
+    return path
+
+
+def to_arrow(glyphs: DataFrame, kind: str = "words") -> pa.Table:
+    """A frame as one Arrow table in the driver; for documents that fit there."""
+    return records(glyphs, kind).toArrow()
+
+
+def to_pandas(glyphs: DataFrame, kind: str = "words") -> pd.DataFrame:
+    return records(glyphs, kind).toPandas()
+
+
+def words_array(glyphs: DataFrame) -> dict[str, np.ndarray]:
+    """Words column by column."""
+    table = to_arrow(glyphs)
+    return {c: table[c].to_numpy() for c in table.column_names}
+
+
+def iter_pages(glyphs: DataFrame, pages: str | None = None) -> Iterator[tuple]:
+    """(doc, page, text), document by document, in page order or the order of a selection; one partition at a time comes to
+    the driver."""
+    text = get_text(glyphs).select("doc", "page", "text")
+    if pages is None:
+        return ((r.doc, r.page, r.text) for r in text.orderBy("doc", "page").toLocalIterator())
+    asked = select_pages(glyphs.select("doc", "page").distinct(), pages)
+    rows = asked.join(text, ["doc", "page"], "left").orderBy("doc", "sel_ord")
+    return ((r.doc, r.page, r.text or "") for r in rows.toLocalIterator())
+
+
+def iter_texts(glyphs: DataFrame, pages: str | None = None) -> Iterator[dict]:
+    """Records as loaders of retrieval libraries take them: a page's text and where it is from."""
+    for doc, page, text in iter_pages(glyphs, pages):
+        yield {"page_content": text, "metadata": {"source": doc, "page": page}}
+
+
+def page_count(glyphs: DataFrame) -> DataFrame:
+    """doc, pages: how many pages each document has, as far as its last one with text."""
+    return glyphs.groupBy("doc").agg((F.max("page") + 1).alias("pages"))

@@ -52,3 +52,42 @@ def half_up(v):
 def pixels(v, dpi: float):
     """Whole pixels for exports: halves go to even."""
     return F.bround(v * (dpi / 72.0), 0).cast("int")
+
+
+def turned(dx, dy, rotation):
+    """A direction on a page as displayed."""
+    return (
+        F.when(rotation == 90, -dy).when(rotation == 180, -dx).when(rotation == 270, dy).otherwise(dx),
+        F.when(rotation == 90, dx).when(rotation == 180, -dy).when(rotation == 270, -dx).otherwise(dy),
+    )
+
+
+def angle(dx, dy):
+    """Of a direction (y down), counterclockwise, from 0 to a full turn."""
+    return F.pmod(F.atan2(-dy, dx), F.lit(2 * 3.141592653589793))
+
+
+def extents(ascent, descent):
+    """(ascent, descent) of a font: defaults where both are zero or the wrong way round, under one size scaled to one."""
+    odd = (ascent <= 0) & (descent >= 0)
+    a, d = F.when(odd, 0.8).otherwise(ascent), F.when(odd, -0.2).otherwise(descent)
+    high = a - d
+    small = (high > 0) & (high < 1)
+    return F.when(small, a / high).otherwise(a), F.when(small, d / high).otherwise(d)
+
+
+def is_rectangle(points):
+    """Whether points (an array of x, y) are the four corners of an upright rectangle, the first one repeated or not."""
+    same = lambda a, b, c: F.abs(a[c] - b[c]) < 1e-6
+    n = F.size(points)
+    closed = (n == 5) & same(points[0], F.get(points, F.lit(4)), "x") & same(points[0], F.get(points, F.lit(4)), "y")
+    own = F.when(closed, F.slice(points, 1, 4)).otherwise(points)
+    upright = lambda k: same(own[k], own[(k + 1) % 4], "x") | same(own[k], own[(k + 1) % 4], "y")
+    return F.when(F.size(own) == 4, upright(0) & upright(1) & upright(2) & upright(3)).otherwise(False)
+
+
+def argb(r, g, b, a=None):
+    """A colour of 0 to 255 a channel as one number, alpha highest."""
+    channel = lambda c: F.greatest(F.lit(0), F.least(F.lit(255), F.bround(c).cast("long")))
+    alpha = F.lit(255).cast("long") if a is None else channel(a)
+    return F.shiftleft(alpha, 24) + F.shiftleft(channel(r), 16) + F.shiftleft(channel(g), 8) + channel(b)

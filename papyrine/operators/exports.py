@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyrine.functions.geometry import pixels
-from papyrine.functions.text import escape_html
+from papyrine.functions.text import clean, escape_html, trimmed
 from papyrine.operators.frames import box, ordered_text
 
 
@@ -56,3 +56,45 @@ def page_json(words: DataFrame) -> DataFrame:
     item = F.struct("x0", "y0", "x1", "y1", "text", "block", "line", "word")
     items = F.transform(F.array_sort(F.collect_list(F.struct(F.col("_o").alias("o"), item.alias("i")))), lambda x: x["i"])
     return rows.groupBy("doc", "page").agg(F.to_json(items).alias("json"))
+
+
+def page_dict(spans: DataFrame) -> DataFrame:
+    """doc, page, json: blocks of lines of spans, each with its box, as nested objects."""
+    corners = lambda: F.array("x0", "y0", "x1", "y1").alias("bbox")
+    listed = lambda order, item, name: F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), item.alias("i")))), lambda x: x["i"]).alias(name)
+    lines = spans.groupBy("doc", "page", "block", "line").agg(*box(), listed("span", F.struct(corners(), "text", "font", "size", "flags", "color"), "spans"))
+    blocks = lines.groupBy("doc", "page", "block").agg(*box(), listed("line", F.struct(corners(), "spans"), "lines"))
+    return blocks.groupBy("doc", "page").agg(F.to_json(listed("block", F.struct(F.lit(0).alias("type"), corners(), "lines"), "b")).alias("json"))
+
+
+def overlay(layers: dict[str, DataFrame]) -> DataFrame:
+    """doc, page, layer, box of frames by name, and `order` arrows from the centre of each block to the next."""
+    out = None
+    for name, rows in layers.items():
+        own = rows.select("doc", "page", F.lit(name).alias("layer"), "x0", "y0", "x1", "y1")
+        out = own if out is None else out.unionByName(own)
+    if "blocks" in layers:
+        w = Window.partitionBy("doc", "page").orderBy("block")
+        mx, my = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
+        arrows = layers["blocks"].select("doc", "page", F.lit("order").alias("layer"), mx.alias("x0"), my.alias("y0"), F.lead(mx).over(w).alias("x1"), F.lead(my).over(w).alias("y1"))
+        out = out.unionByName(arrows.where("x1 is not null"))
+    return out
+
+
+def plain_text(blocks: DataFrame) -> DataFrame:
+    """doc, page, text: cleaned lines without white space at their ends, a blank line between blocks."""
+    lines = F.transform(F.split(F.regexp_replace("text", "\n+$", ""), "\n"), lambda x: F.regexp_replace(clean(x), r"[ \t\n\r\f\x0B]+$", ""))
+    body = F.regexp_replace(F.array_join(lines, "\n"), r"[ \t\n\r\f\x0B]+$", "")
+    joined = blocks.withColumn("_t", F.concat(body, F.lit("\n\n"))).groupBy("doc", "page").agg(ordered_text("_t", "block").alias("text"))
+    return joined.withColumn("text", trimmed(F.col("text")))
+
+
+def scripts(spans: DataFrame) -> DataFrame:
+    """Spans with script: super or sub for short, small ones off the baseline of the line's main span, else ''."""
+    w = Window.partitionBy("doc", "page", "block", "line")
+    text = trimmed(F.col("text"))
+    weight = F.when(text != "", F.struct((F.length(text) * F.col("size")).alias("w"), "size", (-F.col("span")).alias("o"), "base"))
+    rows = spans.withColumn("base", F.col("y1") - 0.2 * F.col("size")).withColumn("n", F.count(F.when(text != "", 1)).over(w)).withColumn("main", F.max(weight).over(w))
+    rise, size = F.col("main.base") - F.col("base"), F.col("main.size")
+    small = (text != "") & (F.col("n") >= 2) & (F.col("main.o") != -F.col("span")) & (F.length(text) <= 6) & (F.col("size") <= 0.85 * size)
+    return rows.withColumn("script", F.when(small & (rise >= 0.15 * size), "super").when(small & (-rise >= 0.08 * size), "sub").otherwise("")).drop("base", "n", "main")

@@ -50,7 +50,10 @@ def lines(chars: DataFrame) -> DataFrame:
 def blocks(chars: DataFrame, dehyphenate: bool = False) -> DataFrame:
     """doc, page, block, x0, y0, x1, y1, text: each line followed by a line feed; with dehyphenate, a hyphen after a
     letter at a line's end goes with its line feed."""
-    rows = lines(chars)
+    return blocks_of_lines(lines(chars), dehyphenate)
+
+
+def blocks_of_lines(rows: DataFrame, dehyphenate: bool = False) -> DataFrame:
     text = F.concat("text", F.lit("\n"))
     if dehyphenate:
         text = F.when((F.length("text") > 1) & F.col("text").rlike(r"\p{L}-$"), F.expr("substring(text, 1, length(text) - 1)")).otherwise(text)
@@ -59,7 +62,11 @@ def blocks(chars: DataFrame, dehyphenate: bool = False) -> DataFrame:
 
 def page_text(chars: DataFrame, dehyphenate: bool = False) -> DataFrame:
     """doc, page, text: blocks in order, a blank line between them."""
-    return blocks(chars, dehyphenate).groupBy("doc", "page").agg(ordered_text("text", "block", "\n").alias("text"))
+    return page_text_of_blocks(blocks(chars, dehyphenate))
+
+
+def page_text_of_blocks(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("doc", "page").agg(ordered_text("text", "block", "\n").alias("text"))
 
 
 def doc_text(chars: DataFrame) -> DataFrame:

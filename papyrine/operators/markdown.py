@@ -11,14 +11,25 @@ from pyspark.sql import functions as F
 
 from papyrine.functions.text import WS, escape_markdown, trimmed
 
-_ELEMENT = r"<(h[1-6]|p|li)\b[^>]*>([^<]*)"
+#: What is no text of a page, tags that begin an element, and tags that end one; all others stand inside a line.
+_HIDDEN = r"(?is)<!--.*?-->|<(?:script|style|title)\b.*?</(?:script|style|title)\s*>"
+_OPENS = r"(?i)<(h[1-6]|p|li)\b[^>]*>"
+_ENDS = r"(?i)</?(?:h[1-6]|p|li|ul|ol|dl|div|article|section|nav|header|footer|main|aside|body|html|head|table|tr|td|th|pre|blockquote|form|hr)\b[^>]*>"
+_ELEMENT = r"(?i)\x01(h[1-6]|p|li)\x02([^\x01\x03]*)"
+_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
 
 
 def elements(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """doc, ord, type, level, text, md: headings, list items and paragraphs of a page, in order, up to their first tag."""
-    pat = F.lit(_ELEMENT)
-    found = F.arrays_zip(F.regexp_extract_all(html_col, pat, F.lit(1)).alias("tag"), F.regexp_extract_all(html_col, pat, F.lit(2)).alias("text"))
-    rows = pages.where(F.col(html_col).isNotNull()).select(F.col(id_col).alias("doc"), F.posexplode(found).alias("ord", "e"))
+    """doc, ord, type, level, text, md: headings, list items and paragraphs of a page, in order, with all the text up to the
+    next element's start or end; tags inside a line are dropped."""
+    html = F.regexp_replace(F.regexp_replace(html_col, _HIDDEN, ""), "[\\x01-\\x03]", " ")
+    html = F.regexp_replace(F.regexp_replace(html, r"(?i)<br\b[^>]*>", "\n"), _OPENS, "\x01$1\x02")
+    html = F.regexp_replace(F.regexp_replace(html, _ENDS, "\x03"), "<[^>]*>", "")
+    for a, b in _ENTITIES:
+        html = F.replace(html, F.lit(a), F.lit(b))
+    own, pat = pages.where(F.col(html_col).isNotNull()).select(F.col(id_col).alias("doc"), html.alias("h")), F.lit(_ELEMENT)
+    found = F.arrays_zip(F.transform(F.regexp_extract_all("h", pat, F.lit(1)), F.lower).alias("tag"), F.regexp_extract_all("h", pat, F.lit(2)).alias("text"))
+    rows = own.select("doc", F.posexplode(found).alias("ord", "e"))
     rows = rows.select("doc", "ord", F.col("e.tag").alias("tag"), F.regexp_replace(trimmed(F.col("e.text")), rf"{WS}+", " ").alias("text")).where("text != ''")
     level = F.when(F.startswith("tag", F.lit("h")), F.substring("tag", 2, 1).cast("int")).otherwise(0)
     kind = F.when(level > 0, "heading").when(F.col("tag") == "li", "list_item").otherwise("paragraph")

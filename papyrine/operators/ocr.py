@@ -34,3 +34,9 @@ def run_words(runs: DataFrame, dpi: float = 72.0, min_conf: float | None = None,
 
 def page_confidence(words: DataFrame) -> DataFrame:
     return words.groupBy("doc", "page").agg(F.bround(F.avg("conf"), 4).alias("conf"))
+
+
+def engine_lines(words: DataFrame) -> DataFrame:
+    """doc, page, block, line, box, text of words with an engine's own numbers of blocks and lines, left to right."""
+    t = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "word", "text"))), lambda x: x["text"]), " ")
+    return words.groupBy("doc", "page", "block", "line").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), t.alias("text"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,54 +56,51 @@ def xy_cut(blocks: DataFrame, gap_x: float = 12.5, gap_y: float = 2.0, rtl: bool
 
 
 def _placed(frame: pd.DataFrame, gap_x: float, gap_y: float, rtl: bool) -> pd.DataFrame:
-    parts = []
-    for _, own in frame.groupby(["doc", "page"], sort=False):
-        boxes = own[["x0", "y0", "x1", "y1"]].to_numpy().tolist()
-        order = cut(list(range(len(boxes))), boxes, gap_x, gap_y, rtl)
-        place = {i: k for k, i in enumerate(order)}
-        parts.append(own.assign(place=[place[i] for i in range(len(boxes))]))
-    out = pd.concat(parts)
-    return out.assign(place=out["place"].astype("int32"))
-
-
-def _gutters(boxes, ids, low: int, gap: float) -> list[float]:
-    """Where each empty stretch of at least `gap` between intervals starts; none at the left edge itself."""
-    spans = sorted((boxes[i][low], boxes[i][low + 2]) for i in ids)
-    found, reach = [], spans[0][0]
-    start = reach
-    for a, b in spans:
-        if reach > start and a - reach >= gap:
-            found.append(reach)
-        reach = max(reach, b)
-    return found
-
-
-def _dealt(boxes, ids, low: int, gutters: list[float]) -> list[list[int]]:
-    bins: dict[int, list[int]] = {}
-    for i in ids:
-        middle = (boxes[i][low] + boxes[i][low + 2]) / 2
-        bins.setdefault(sum(middle > g for g in gutters), []).append(i)
-    return [bins[k] for k in sorted(bins)]
-
-
-def cut(ids: list[int], boxes: list, gap_x: float, gap_y: float, rtl: bool = False, depth: int = 0) -> list[int]:
-    plain = lambda: sorted(ids, key=lambda i: (boxes[i][1], boxes[i][0]))
-    if len(ids) < 2 or depth > 50:
-        return plain()
-    if columns := _gutters(boxes, ids, 0, gap_x):
-        parts = _dealt(boxes, ids, 0, columns)
-        parts = parts[::-1] if rtl else parts
-    else:
-        breaks = _gutters(boxes, ids, 1, gap_y)
-        if not breaks:
-            return sorted(ids, key=lambda i: (round(boxes[i][1]), boxes[i][0]))
-        parts: list[list[int]] = []
-        for strip in _dealt(boxes, ids, 1, breaks):
-            joined = parts and all(_gutters(boxes, x, 0, gap_x) for x in (parts[-1], strip, parts[-1] + strip))
-            if joined:  # strips with a common gutter are one
-                parts[-1] = parts[-1] + strip
+    place = np.empty(len(frame), np.int32)
+    for at in frame.reset_index(drop=True).groupby(["doc", "page"], sort=False).indices.values():
+        place[at[cut(frame[["x0", "y0", "x1", "y1"]].to_numpy()[at], gap_x, gap_y, rtl)]] = np.arange(len(at))
+    return frame.assign(place=place)
+
+
+def gutters(low: np.ndarray, high: np.ndarray, least: float) -> np.ndarray:
+    """Where the white stretches of `least` and more between intervals start: the farthest end so far, over which the next
+    interval starts late enough. Intervals of no length at the very beginning make none."""
+    by = np.lexsort((high, low))
+    start, reach = low[by], np.maximum.accumulate(high[by])
+    return reach[:-1][(start[1:] - reach[:-1] >= least) & (reach[:-1] > start[0])]
+
+
+def cut(boxes: np.ndarray, gap_x: float, gap_y: float, rtl: bool = False, depth: int = 50) -> list[int]:
+    """The reading order of boxes (rows of x0, y0, x1, y1).
+
+    A set of boxes with white columns is dealt to these, another one to strips between white rows; neighbouring strips that
+    have a white column in common stay together. Sets are taken from a pile, and what a set is dealt to goes back on top.
+    """
+    x0, y0, x1, y1 = boxes.T if len(boxes) else np.zeros((4, 0))
+    white = lambda at, least: gutters(x0[at], x1[at], least)
+    dealt = lambda at, middle, cuts: [at[np.searchsorted(cuts, middle[at], "left") == k] for k in range(len(cuts) + 1)]
+    out: list[int] = []
+    pile = [(np.arange(len(boxes)), 0)] if len(boxes) else []
+    while pile:
+        at, level = pile.pop()
+        parts, top = [], y0[at]
+        if len(at) > 1 and level <= depth:
+            columns = white(at, gap_x)
+            rows = gutters(y0[at], y1[at], gap_y) if not len(columns) else columns
+            if len(columns):
+                parts = dealt(at, (x0 + x1) / 2, columns)[:: -1 if rtl else 1]
+            elif len(rows):
+                for strip in dealt(at, (y0 + y1) / 2, rows):
+                    whole = [*parts[-1:], strip, np.concatenate([*parts[-1:], strip])]
+                    if parts and all(len(s) and len(white(s, gap_x)) for s in whole):
+                        parts[-1] = whole[-1]
+                    elif len(strip):
+                        parts.append(strip)
             else:
-                parts.append(strip)
-    if any(len(p) == len(ids) for p in parts):
-        return plain()
-    return [i for p in parts for i in cut(p, boxes, gap_x, gap_y, rtl, depth + 1)]
+                top = np.rint(top)
+        parts = [p for p in parts if len(p)]
+        if len(parts) > 1:
+            pile += [(p, level + 1) for p in reversed(parts)]
+        else:
+            out += at[np.lexsort((x0[at], top))].tolist()
+    return out

@@ -104,3 +104,20 @@ def merge_rules(segments: DataFrame, snap: float = 1.5, join: float = 2.5) -> Da
     s = s.withColumn("_span", F.sum("_gap").over(c.rowsBetween(Window.unboundedPreceding, 0)))
     s = s.withColumn("_position", F.min("position").over(Window.partitionBy("page", "horizontal", "_cluster")))
     return s.groupBy("page", "horizontal", "_cluster", "_span").agg(F.min("_position").alias("position"), F.min("start").alias("start"), F.max("stop").alias("stop")).drop("_cluster", "_span")
+
+
+def first_holder(items: DataFrame, boxes: DataFrame, keys: list[str], tolerance: float = 2.0) -> DataFrame:
+    """keys, box: the first box (by id, by value) that holds an item's centre, within `tolerance`."""
+    named = boxes.select(*[F.col(c).alias(f"b_{c}") for c in boxes.columns])
+    mx, my = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
+    inside = mx.between(F.col("b_x0") - tolerance, F.col("b_x1") + tolerance) & my.between(F.col("b_y0") - tolerance, F.col("b_y1") + tolerance)
+    return items.join(named, inside).groupBy(*keys).agg(F.min("b_id").alias("box"))
+
+
+def slots(items: DataFrame, others: DataFrame) -> DataFrame:
+    """doc, page, id, slot: before which place of a page's elements (place, y0) an item (id, y0) goes: the first that does
+    not start over it, by a point; after the last otherwise."""
+    n = others.groupBy("doc", "page").agg(F.count("*").alias("n"))
+    rows = items.join(others.select("doc", "page", "place", F.col("y0").alias("o_y0")), ["doc", "page"]).where(F.col("o_y0") >= F.col("y0") - 1)
+    first = rows.groupBy("doc", "page", "id").agg(F.min("place").alias("slot"))
+    return items.select("doc", "page", "id").join(n, ["doc", "page"]).join(first, ["doc", "page", "id"], "left").select("doc", "page", "id", F.coalesce("slot", "n").cast("int").alias("slot"))

@@ -1,4 +1,4 @@
-"""Ruled tables: the grid that crossing rules span, its cells with spans, the words in them, and outputs of the grid."""
+"""Tables: rules from drawings, the grid that crossing rules span, its cells with spans and words, checks, and outputs."""
 
 from __future__ import annotations
 
@@ -8,7 +8,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: How near rules have to come to meet, and the least size of a table, in points (fixed values).
 TOUCH, LEAST_WIDTH, LEAST_HEIGHT = 2.5, 20.0, 8.0
+#: Least length of a rule and its greatest thickness, least length of rules in a grid and in a stack (fixed values).
+LEAST_RULE, THICK, GRID_RULE, STACK_RULE = 2.0, 2.5, 8.0, 40.0
 
 
 def regions(rules: list[tuple]) -> list[tuple[list, list]]:
@@ -123,3 +126,106 @@ def unique_names(header: DataFrame) -> DataFrame:
     w = Window.partitionBy("doc", "page", "table", "text").orderBy("col")
     k = F.row_number().over(w) - 1
     return header.withColumn("name", F.when(k > 0, F.concat("text", F.lit("."), k)).otherwise(F.col("text")))
+
+
+def rules_of(drawings: DataFrame) -> DataFrame:
+    """page, horizontal, position, start, stop of drawings (page, type, kind, x0, y0, x1, y1, fill): straight strokes, thin
+    filled rectangles by their middle, and the edges of the others, but of white ones that are only filled.
+
+    type: a text with s (stroked) and f (filled); kind: l (from x0, y0 to x1, y1) or re; fill: the least of its channels.
+    """
+    c = F.col
+    stroked, filled = F.contains("type", F.lit("s")), F.contains("type", F.lit("f"))
+    w, h = c("x1") - c("x0"), c("y1") - c("y0")
+    rule = lambda flat, at, a, b: F.struct(F.lit(flat).alias("horizontal"), at.alias("position"), a.alias("start"), b.alias("stop"))
+    line = F.when((F.abs(h) < 0.5) & (F.abs(w) >= LEAST_RULE) & stroked, F.array(rule(True, c("y0"), F.least("x0", "x1"), F.greatest("x0", "x1")))).when(
+        (F.abs(w) < 0.5) & (F.abs(h) >= LEAST_RULE), F.array(rule(False, c("x0"), F.least("y0", "y1"), F.greatest("y0", "y1")))
+    )
+    white = filled & ~stroked & F.coalesce(c("fill") > 0.95, F.lit(False))
+    edges = F.array(*[rule(True, c(y), c("x0"), c("x1")) for y in ("y0", "y1")], *[rule(False, c(x), c("y0"), c("y1")) for x in ("x0", "x1")])
+    box = F.when(filled & (h <= THICK) & (w >= LEAST_RULE), F.array(rule(True, (c("y0") + c("y1")) / 2, c("x0"), c("x1")))).when(
+        filled & (w <= THICK) & (h >= LEAST_RULE), F.array(rule(False, (c("x0") + c("x1")) / 2, c("y0"), c("y1")))
+    ).when((stroked | filled) & ~white, edges)
+    return drawings.select("page", F.explode(F.when(c("kind") == "l", line).when(c("kind") == "re", box)).alias("r")).select("page", "r.*")
+
+
+def long_rules(rules: DataFrame, least: float = GRID_RULE) -> DataFrame:
+    return rules.where(F.col("stop") - F.col("start") >= least)
+
+
+def rules_in(rules: DataFrame, area: tuple[float, float, float, float]) -> DataFrame:
+    """Rules that an area touches, within a point of its edges."""
+    x0, y0, x1, y1 = area
+    across = F.when(F.col("horizontal"), F.col("position").between(y0 - 1, y1 + 1)).otherwise(F.col("position").between(x0 - 1, x1 + 1))
+    along = F.when(F.col("horizontal"), (F.col("stop") >= x0) & (F.col("start") <= x1)).otherwise((F.col("stop") >= y0) & (F.col("start") <= y1))
+    return rules.where(across & along)
+
+
+def words_in(words: DataFrame, area: tuple[float, float, float, float]) -> DataFrame:
+    """Words whose centre lies in an area, within a point of its edges."""
+    x0, y0, x1, y1 = area
+    return words.where(((F.col("x0") + F.col("x1")) / 2).between(x0 - 1, x1 + 1) & ((F.col("y0") + F.col("y1")) / 2).between(y0 - 1, y1 + 1))
+
+
+def words_outside(words: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Words whose centre no box (by value) holds, within a point."""
+    b = boxes.select(*[F.col(k).alias(f"b_{k}") for k in ("x0", "y0", "x1", "y1")])
+    mx, my = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
+    return words.join(b, mx.between(F.col("b_x0") - 1, F.col("b_x1") + 1) & my.between(F.col("b_y0") - 1, F.col("b_y1") + 1), "left_anti")
+
+
+def valid_tables(cells: DataFrame, min_rows: int = 2, min_cols: int = 2, max_cols: int = 20) -> DataFrame:
+    """doc, page, table of cells that look like a table's: mostly filled, few of them long, two rows with two filled cells."""
+    key = ["doc", "page", "table"]
+    text = F.regexp_replace("text", r"^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$", "")
+    full = text != ""
+    long_ = full & (F.size(F.split(text, r"[ \t\n\r\f\x0B]+")) > 20)
+    rows = cells.withColumns({"full": full.cast("int"), "long": long_.cast("int")}).groupBy(*key, "row").agg(F.sum("full").alias("full"), F.sum("long").alias("long"), F.count("*").alias("n"), F.max(F.col("row") + F.col("rowspan")).alias("below"), F.max(F.col("col") + F.col("colspan")).alias("right"))
+    sums = rows.groupBy(*key).agg(F.sum("full").alias("full"), F.sum("long").alias("long"), F.sum("n").alias("n"), F.max("below").alias("rows"), F.max("right").alias("cols"), F.count_if(F.col("full") >= 2).alias("multi"))
+    good = (F.col("rows") >= min_rows) & F.col("cols").between(min_cols, max_cols) & (F.col("full") >= F.greatest(F.lit(3.0), F.col("n") * 0.3)) & (F.col("long") <= F.greatest(F.lit(1.0), F.col("full") * 0.1)) & (F.col("multi") >= 2)
+    return sums.where(good).select(*key)
+
+
+def without_titles(tables: DataFrame, spans: DataFrame, bodies: DataFrame) -> DataFrame:
+    """tables (doc, page, id, box) less those that hold, within a point, three characters of text well over the body's size."""
+    n = F.length(F.regexp_replace("text", r"^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$", ""))
+    big = spans.where(n >= 3).join(bodies, ["doc", "page"]).where(F.round("size", 1) > F.col("body") * 1.4)
+    big = big.select("doc", "page", *[F.col(k).alias(f"s_{k}") for k in ("x0", "y0", "x1", "y1")]).alias("s")
+    t = tables.alias("t")
+    holds = (F.col("t.doc") == F.col("s.doc")) & (F.col("t.page") == F.col("s.page")) & (F.col("s_x0") >= F.col("x0") - 1) & (F.col("s_x1") <= F.col("x1") + 1) & (F.col("s_y0") >= F.col("y0") - 1) & (F.col("s_y1") <= F.col("y1") + 1)
+    return t.join(big, holds, "left_anti")
+
+
+def outer_regions(regions: DataFrame, tolerance: float = 2.0) -> DataFrame:
+    """Regions (page, id, box) less those that one further up, or left at the same height, contains."""
+    box = ["x0", "y0", "x1", "y1"]
+    a, b = regions.alias("a"), regions.select("page", "id", *box).alias("b")
+    before = F.struct("b.y0", "b.x0", "b.id") < F.struct("a.y0", "a.x0", "a.id")
+    inside = (F.col("b.x0") - tolerance <= F.col("a.x0")) & (F.col("b.y0") - tolerance <= F.col("a.y0")) & (F.col("a.x1") <= F.col("b.x1") + tolerance) & (F.col("a.y1") <= F.col("b.y1") + tolerance)
+    return a.join(b, (F.col("a.page") == F.col("b.page")) & before & inside, "left_anti")
+
+
+def fragments(words: DataFrame, gap: float = 0.8) -> DataFrame:
+    """doc, page, block, line, fragment, box, text: lines cut where words are over `gap` of a word's height apart."""
+    line = ["doc", "page", "block", "line"]
+    w = Window.partitionBy(*line).orderBy("word")
+    far = F.coalesce(F.col("x0") - F.lag("x1").over(w) > gap * (F.col("y1") - F.col("y0")), F.lit(False))
+    rows = words.withColumn("fragment", F.sum(far.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    return rows.groupBy(*line, "fragment").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.expr("listagg(text, ' ') WITHIN GROUP (ORDER BY word)").alias("text"))
+
+
+def to_text(cells: DataFrame, separator: str = "\t") -> DataFrame:
+    """doc, page, table, text: rows as lines, cells apart by a tab; line feeds in cells become spaces."""
+    return _rows(cells, F.regexp_replace("text", "\n", " "), separator, "text")
+
+
+def to_csv(cells: DataFrame) -> DataFrame:
+    """doc, page, table, csv: cells with commas, quotes or line feeds are quoted."""
+    quoted = F.concat(F.lit('"'), F.replace(F.col("text"), F.lit('"'), F.lit('""')), F.lit('"'))
+    return _rows(cells, F.when(F.col("text").rlike('[",\n\r]'), quoted).otherwise(F.col("text")), ",", "csv")
+
+
+def _rows(cells: DataFrame, text, separator: str, name: str) -> DataFrame:
+    quoted = "".join("\\u%04X" % ord(c) for c in separator)
+    lines = cells.withColumn("t", text).groupBy("doc", "page", "table", "row").agg(F.expr(f"listagg(t, '{quoted}') WITHIN GROUP (ORDER BY col)").alias("line"))
+    return lines.groupBy("doc", "page", "table").agg(F.expr("listagg(line, '\\n') WITHIN GROUP (ORDER BY row)").alias(name))

@@ -46,13 +46,20 @@ LIGATURES = {"ff": "ﬀ", "fi": "ﬁ", "fl": "ﬂ", "ffi": "ﬃ", "ffl": "ﬄ",
 def recombine_ligatures(glyphs: DataFrame) -> DataFrame:
     """A glyph and the continuations after it (column cont) become one, if they spell a ligature; others stay."""
     w = Window.partitionBy("doc", "page").orderBy("gidx")
-    g = glyphs.withColumn("_set", F.sum((~F.col("cont")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = Window.partitionBy("doc", "page", "_set")
-    g = g.withColumn("_n", F.count("*").over(whole)).withColumn("_text", F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("gidx", "c")).over(whole)), lambda x: x["c"]), ""))
+    goes_on = F.col("cont") & F.coalesce(F.lag("py").over(w) == F.col("py"), F.lit(False))  # a ligature does not cross a line
+    g = glyphs.withColumn("cont", goes_on)
+    g = g.withColumn("_set", F.sum((~F.col("cont")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = Window.partitionBy("doc", "page", "_set").orderBy("gidx")
+    text = F.col("c")
+    for k in range(1, 3):  # three characters at most
+        text = F.concat(text, F.coalesce(F.lead("c", k).over(whole), F.lit("")))
+    all_ = whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    g = g.withColumn("_n", F.count("*").over(all_)).withColumn("_text", F.first(F.when(~F.col("cont"), text), True).over(all_))
+    g = g.withColumn("_text", F.when(F.col("_n") <= 3, F.col("_text")))
     one = F.lit(None).cast("string")
     for text, glyph in LIGATURES.items():
         one = F.when(F.col("_text") == text, glyph).otherwise(one)
-    g = g.withColumn("_one", F.when(F.col("_n") > 1, one)).withColumn("_end", F.max("qx").over(whole))
+    g = g.withColumn("_one", F.when(F.col("_n") > 1, one)).withColumn("_end", F.max("qx").over(all_))
     kept = g.where("_one is null or not cont")
     return kept.withColumn("c", F.coalesce("_one", "c")).withColumn("qx", F.when(F.col("_one").isNotNull(), F.col("_end")).otherwise(F.col("qx"))).select(*glyphs.columns)
 
@@ -96,3 +103,30 @@ def group_glyphs(glyphs: DataFrame, params: LayoutParams = LayoutParams()) -> Da
     g = g.withColumn("sup", (F.col("dx") >= 0.999) & (F.col("py") < F.col("_base") - F.col("size") * params.superscript_rise))
     box = [F.col("px").alias("x0"), (F.col("py") - params.ascent * F.col("size")).alias("y0"), F.col("qx").alias("x1"), (F.col("py") - params.descent * F.col("size")).alias("y1")]
     return g.select("doc", "page", "gidx", "c", "block", "pline", "pword", "head", "gap", "sup", *box, "px", "py", "size", "font", "color", "dx", "dy")
+
+
+def mark_continuations(glyphs: DataFrame) -> DataFrame:
+    """Adds cont: a glyph that shares place, end and font with the one before it (one glyph for several characters)."""
+    w = Window.partitionBy("doc", "page").orderBy("gidx")
+    same = F.lit(True)
+    for k in ("px", "py", "qx", "qy", "font"):
+        same = same & (F.lag(k).over(w) == F.col(k))
+    return glyphs.withColumn("cont", F.coalesce(same, F.lit(False)))
+
+
+def fix_overhang(glyphs: DataFrame) -> DataFrame:
+    """Ends a glyph (with cont) where the next one of its line starts, if that lies inside it: boxes of slanted letters are
+    wider than their advance."""
+    w = Window.partitionBy("doc", "page").orderBy("gidx")
+    after = lambda c: F.lead(c).over(w)
+    inside = (F.col("dy") == 0) & (F.col("dx") > 0) & (after("dx") > 0) & (after("py") == F.col("py")) & (F.col("px") < after("px")) & (after("px") < F.col("qx")) & ~after("cont")
+    return glyphs.withColumn("_next", F.when(inside, after("px"))).withColumn("qx", F.coalesce("_next", "qx")).drop("_next")
+
+
+def carry_hint(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Rows that are not generated, with hint: whether generated ones came since the one before."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    real = (~F.col("generated")).cast("int")
+    own = rows.withColumn("_k", F.sum(real).over(w.rowsBetween(Window.unboundedPreceding, 0)) - real)
+    hint = F.max(F.col("generated")).over(Window.partitionBy(*keys, "_k"))
+    return own.withColumn("hint", hint).where("not generated").drop("_k")

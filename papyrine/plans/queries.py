@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from papyrine.functions import geometry, text
 from papyrine.operators import exports, frames, markdown, ocr, order, render, search, spatial, statistics, tables
-from papyrine.plans import layout, oracle
+from papyrine.plans import kernel, layout, oracle
 from papyrine.sources import typeset
 from papyrine.streaming import islands
 
@@ -41,22 +41,22 @@ def chars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("c01_words", oracle.on_chars("SELECT * FROM words", oracle.WORDS))
 def c01_words(spark, sf_dir):
-    return frames.words(chars(spark, sf_dir))
+    return words(spark, sf_dir)
 
 
 @query("c02_blocks", oracle.on_chars("SELECT * FROM blocks", oracle.LINES, oracle.BLOCKS))
 def c02_blocks(spark, sf_dir):
-    return frames.blocks(chars(spark, sf_dir))
+    return blocks(spark, sf_dir)
 
 
 @query("k01_lines_frame", oracle.on_chars("SELECT doc, page, block, line, x0, y0, x1, y1, 1.0::DOUBLE AS dir_x, 0.0::DOUBLE AS dir_y, 0::TINYINT AS wmode, text FROM lines", oracle.LINES))
 def k01_lines(spark, sf_dir):
-    return frames.lines(chars(spark, sf_dir))
+    return lines(spark, sf_dir)
 
 
 @query("w14_spans", oracle.on_chars("SELECT * FROM spans", oracle.SPANS))
 def w14_spans(spark, sf_dir):
-    return frames.spans(chars(spark, sf_dir))
+    return spans(spark, sf_dir)
 
 
 @query("k01_chars_frame", oracle.on_chars("""SELECT doc, page, block, CAST(pline - min(pline) OVER (PARTITION BY doc, page, block) AS INTEGER) AS line,
@@ -70,7 +70,19 @@ LINES, BLOCKS, SPANS = oracle.LINES, oracle.BLOCKS, oracle.SPANS
 
 
 def words(spark, sf_dir):
-    return frames.words(chars(spark, sf_dir))
+    return kernel.words(glyphs(spark, sf_dir))
+
+
+def lines(spark, sf_dir):
+    return kernel.lines(glyphs(spark, sf_dir))
+
+
+def blocks(spark, sf_dir):
+    return frames.blocks_of_lines(lines(spark, sf_dir))
+
+
+def spans(spark, sf_dir):
+    return kernel.spans(glyphs(spark, sf_dir))
 
 
 _HYPHENS = """
@@ -108,12 +120,12 @@ def w16_dehyphenated_words(spark, sf_dir):
     ),
 )
 def a03_dehyphenated_blocks(spark, sf_dir):
-    return frames.blocks(chars(spark, sf_dir), dehyphenate=True)
+    return frames.blocks_of_lines(lines(spark, sf_dir), dehyphenate=True)
 
 
 @query("a02_page_text", oracle.on_chars("SELECT doc, page, string_agg(text, chr(10) ORDER BY block) AS text FROM blocks GROUP BY doc, page", LINES, BLOCKS))
 def a02_page_text(spark, sf_dir):
-    return frames.page_text(chars(spark, sf_dir))
+    return frames.page_text_of_blocks(blocks(spark, sf_dir))
 
 
 @query(
@@ -198,7 +210,7 @@ def o02_sort_simple(spark, sf_dir):
     oracle.on_chars("SELECT *, CAST(row_number() OVER (PARTITION BY doc, page ORDER BY round_even(y0 / 1.25::DOUBLE, 0) * 1.25::DOUBLE, x0, block) - 1 AS INTEGER) AS place FROM blocks", LINES, BLOCKS),
 )
 def o06_sort_by_rows(spark, sf_dir):
-    return order.rows_by_tolerance(frames.blocks(chars(spark, sf_dir)))
+    return order.rows_by_tolerance(blocks(spark, sf_dir))
 
 
 @query(
@@ -238,7 +250,7 @@ bodies AS (SELECT doc, size AS body, n FROM histogram QUALIFY row_number() OVER
 
 @query("a04_body_size", oracle.on_chars("SELECT doc, body, CAST(n AS BIGINT) AS n FROM bodies", SPANS, _SIZES))
 def a04_body_size(spark, sf_dir):
-    return statistics.body_size(statistics.size_histogram(frames.spans(chars(spark, sf_dir))))
+    return statistics.body_size(statistics.size_histogram(spans(spark, sf_dir)))
 
 
 @query(
@@ -253,7 +265,7 @@ def a04_body_size(spark, sf_dir):
     ),
 )
 def a05_heading_levels(spark, sf_dir):
-    return statistics.heading_levels(statistics.size_histogram(frames.spans(chars(spark, sf_dir))))
+    return statistics.heading_levels(statistics.size_histogram(spans(spark, sf_dir)))
 
 
 _KEY = r"regexp_replace(regexp_replace(lower(regexp_replace(text, '^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$', '', 'g')), '[0-9]+', '#', 'g'), '[ \t\n\r\f\x0B]+', ' ', 'g')"
@@ -270,8 +282,8 @@ JOIN (SELECT doc, count(DISTINCT page) AS n FROM blocks GROUP BY doc HAVING n >=
     ),
 )
 def a06_running_lines(spark, sf_dir):
-    c = chars(spark, sf_dir)
-    return statistics.running_lines(frames.lines(c), frames.blocks(c), typeset.PAGE_HEIGHT)
+    own = lines(spark, sf_dir)
+    return statistics.running_lines(own, frames.blocks_of_lines(own), typeset.PAGE_HEIGHT)
 
 
 @query(
@@ -279,7 +291,7 @@ def a06_running_lines(spark, sf_dir):
     oracle.on_chars("SELECT doc, text, CAST(sum(n) AS BIGINT) AS n, max(n) AS most FROM (SELECT doc, page, text, count(*) AS n FROM lines GROUP BY ALL) GROUP BY doc, text HAVING sum(n) > 2 OR max(n) > 1", LINES),
 )
 def a08_repeated_lines(spark, sf_dir):
-    return statistics.repeated_headings(frames.lines(chars(spark, sf_dir)))
+    return statistics.repeated_headings(lines(spark, sf_dir))
 
 
 @query(
@@ -463,7 +475,10 @@ def a21_token_f1(spark, sf_dir):
 
 
 _ELEMENTS = r"""
-tags AS (SELECT page_id AS doc, regexp_extract_all(html, '<(h[1-6]|p|li)\b[^>]*>([^<]*)', 1) AS t, regexp_extract_all(html, '<(h[1-6]|p|li)\b[^>]*>([^<]*)', 2) AS x FROM pages WHERE html IS NOT NULL),
+plain AS (SELECT page_id AS doc, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<(?:script|style|title)\b.*?</(?:script|style|title)\s*>', '', 'g'), '[\x01-\x03]', ' ', 'g'), '(?i)<br\b[^>]*>', chr(10), 'g'),
+  '(?i)<(h[1-6]|p|li)\b[^>]*>', chr(1) || '\1' || chr(2), 'g'), '(?i)</?(?:h[1-6]|p|li|ul|ol|dl|div|article|section|nav|header|footer|main|aside|body|html|head|table|tr|td|th|pre|blockquote|form|hr)\b[^>]*>', chr(3), 'g'), '<[^>]*>', '', 'g') AS h FROM pages WHERE html IS NOT NULL),
+unescaped AS (SELECT doc, replace(replace(replace(replace(replace(replace(h, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&') AS h FROM plain),
+tags AS (SELECT doc, [lower(x) FOR x IN regexp_extract_all(h, '(?i)\x01(h[1-6]|p|li)\x02([^\x01\x03]*)', 1)] AS t, regexp_extract_all(h, '(?i)\x01(h[1-6]|p|li)\x02([^\x01\x03]*)', 2) AS x FROM unescaped),
 parts AS (SELECT doc, generate_subscripts(t, 1) - 1 AS ord, unnest(t) AS tag, regexp_replace(regexp_replace(unnest(x), '^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$', '', 'g'), '[ \t\n\r\f\x0B]+', ' ', 'g') AS text FROM tags),
 elements AS (SELECT doc, CAST(ord AS INTEGER) AS ord, CASE WHEN tag LIKE 'h%' THEN 'heading' WHEN tag = 'li' THEN 'list_item' ELSE 'paragraph' END AS type, CASE WHEN tag LIKE 'h%' THEN CAST(tag[2:2] AS INTEGER) ELSE 0 END AS level, text,
   CASE WHEN tag LIKE 'h%' THEN repeat('#', CAST(tag[2:2] AS INTEGER)) || ' ' WHEN tag = 'li' THEN '- ' ELSE '' END || regexp_replace(text, '([\\`*_\[\]<>])', '\\\1', 'g') AS md FROM parts WHERE text <> '')"""
@@ -559,7 +574,7 @@ def k14_alto(spark, sf_dir):
     oracle.on_chars(f"SELECT doc, page, string_agg(printf('<p style=\"left:%dpt;top:%dpt\">', floor(x0)::INT, floor(y0)::INT) || {_HTML('text')} || '</p>', chr(10) ORDER BY block, line) AS html FROM lines GROUP BY doc, page", LINES),
 )
 def k10_html(spark, sf_dir):
-    return exports.html(frames.lines(chars(spark, sf_dir)))
+    return exports.html(lines(spark, sf_dir))
 
 
 @query(
@@ -570,10 +585,13 @@ def k10_html(spark, sf_dir):
     ),
 )
 def k12_xml(spark, sf_dir):
-    return exports.xml(frames.spans(chars(spark, sf_dir)))
+    return exports.xml(spans(spark, sf_dir))
 
 
-@query("k06_json")
+@query(
+    "k06_json",
+    oracle.on_chars("SELECT doc, page, CAST(to_json(list({'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1, 'text': text, 'block': block, 'line': line, 'word': word} ORDER BY block, line, word)) AS VARCHAR) AS json FROM words GROUP BY doc, page", WORDS),
+)
 def k06_json(spark, sf_dir):
     return exports.page_json(words(spark, sf_dir))
 
@@ -616,7 +634,7 @@ _K = r"regexp_replace(lower(regexp_replace(text, '^[ \t\n\r\f\x0B]*([0-9]+|[A-Z]
 
 @query("f12_text_keys", oracle.on_chars(f"SELECT doc, page, block, line, {_KEY} AS running, {_K} AS heading FROM lines", LINES))
 def f12_text_keys(spark, sf_dir):
-    return frames.lines(chars(spark, sf_dir)).select("doc", "page", "block", "line", text.running_key(F.col("text")).alias("running"), text.heading_key(F.col("text")).alias("heading"))
+    return lines(spark, sf_dir).select("doc", "page", "block", "line", text.running_key(F.col("text")).alias("running"), text.heading_key(F.col("text")).alias("heading"))
 
 
 @query(
@@ -673,18 +691,18 @@ _LIGATURES = "CASE text WHEN 'ff' THEN 'ﬀ' WHEN 'fi' THEN 'ﬁ' WHEN 'fl' THEN
 @query(
     "w04_ligatures",
     oracle.sql(
-        f"""SELECT doc, page, gidx, c, px, qx FROM (SELECT doc, page, min(gidx) AS gidx, {_LIGATURES} AS c, min(px) AS px, max(qx) AS qx FROM (SELECT doc, page, k, min(gidx) AS gidx, min(px) AS px, max(qx) AS qx, string_agg(c, '' ORDER BY gidx) AS text FROM sets GROUP BY doc, page, k HAVING count(*) > 1) GROUP BY doc, page, k, text) WHERE c IS NOT NULL""",
+        f"""SELECT doc, page, gidx, c, px, qx FROM (SELECT doc, page, min(gidx) AS gidx, {_LIGATURES} AS c, min(px) AS px, max(qx) AS qx FROM (SELECT doc, page, k, min(gidx) AS gidx, arg_min(px, gidx) AS px, max(qx) AS qx, string_agg(c, '' ORDER BY gidx) AS text FROM sets GROUP BY doc, page, k HAVING count(*) > 1) GROUP BY doc, page, k, text) WHERE c IS NOT NULL""",
         oracle.GLYPHS,
         """
 sets AS (SELECT *, sum((NOT cont)::INT) OVER (PARTITION BY doc, page ORDER BY gidx ROWS UNBOUNDED PRECEDING) AS k FROM (
-  SELECT *, coalesce(lag(gidx) OVER w = gidx - 1 AND lag(c) OVER w || c IN ('ff', 'fi', 'fl', 'st'), false) AS cont FROM glyphs WINDOW w AS (PARTITION BY doc, page ORDER BY gidx)))""",
+  SELECT *, coalesce(lag(gidx) OVER w = gidx - 1 AND lag(py) OVER w = py AND lag(c) OVER w || c IN ('ff', 'fi', 'fl', 'st'), false) AS cont FROM glyphs WINDOW w AS (PARTITION BY doc, page ORDER BY gidx)))""",
     ),
 )
 def w04_ligatures(spark, sf_dir):
     """As if one glyph had made each f that follows an f, i or l after f, and t after s."""
     w = Window.partitionBy("doc", "page").orderBy("gidx")
     pair = F.concat(F.lag("c").over(w), "c").isin("ff", "fi", "fl", "st")
-    g = glyphs(spark, sf_dir).withColumn("cont", F.coalesce((F.lag("gidx").over(w) == F.col("gidx") - 1) & pair, F.lit(False)))
+    g = glyphs(spark, sf_dir).withColumn("cont", F.coalesce((F.lag("gidx").over(w) == F.col("gidx") - 1) & (F.lag("py").over(w) == F.col("py")) & pair, F.lit(False)))
     own = layout.recombine_ligatures(g)
     return own.where(F.col("c").isin(*layout.LIGATURES.values())).select("doc", "page", "gidx", "c", "px", "qx")
 
@@ -704,3 +722,6 @@ def w36_ocr_words(spark, sf_dir):
     c = chars(spark, sf_dir).withColumn("_t", frames.spaced())
     runs = c.groupBy("doc", "page", F.col("pline").alias("run")).agg(*frames.box(), frames.ordered_text("_t", "gidx").alias("text")).withColumn("conf", F.lit(0.9))
     return ocr.run_words(runs).drop("conf")
+
+
+from papyrine.plans import more  # noqa: E402, F401  registers its queries here

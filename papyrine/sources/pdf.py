@@ -651,6 +651,15 @@ def _structure(pdf: Pdf, path: str, number: dict) -> list[tuple]:
     return out
 
 
+def failure(path: str, data: bytes, name: str) -> str:
+    """Why a relation of a file cannot be read, or nothing."""
+    try:
+        relation(path, data, name)
+    except Exception as e:
+        return str(e) or type(e).__name__
+    return ""
+
+
 def read_pdf(files: DataFrame, name: str = "glyphs") -> DataFrame:
     """One of RELATIONS of the files in (path, content). Files are independent: nothing is shuffled."""
     if name not in RELATIONS:
@@ -664,11 +673,14 @@ def read_pdf(files: DataFrame, name: str = "glyphs") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                try:
-                    rows = relation(path, data or b"", "pages" if name == "errors" else name)
-                    rows = [] if name == "errors" else rows
-                except (ValueError, RecursionError) as e:
-                    rows = [(path, str(e))] if name == "errors" else []
+                # a malformed file can fail anywhere; it is reported and takes no other file with it
+                if name == "errors":
+                    rows = [(path, said) for said in dict.fromkeys(filter(None, (failure(path, data or b"", k) for k in RELATIONS if k != "errors")))]
+                else:
+                    try:
+                        rows = relation(path, data or b"", name)
+                    except Exception:
+                        rows = []
                 for k in range(0, len(rows), 20_000):
                     part = rows[k : k + 20_000]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), arrow.types, strict=True)], schema=arrow)

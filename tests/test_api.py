@@ -17,6 +17,16 @@ def test_from_file_to_frames(spark, tmp_path):
     path = api.to_parquet(g, str(tmp_path / "out"), "lines")
     assert spark.read.parquet(path).columns[:4] == ["doc", "page", "block", "line"]
     assert spark.read.option("header", True).csv(api.to_csv(g, str(tmp_path / "csv"))).count() == api.records(g).count()
+    assert api.to_arrow(g).num_rows == len(api.to_pandas(g)) == len(api.words_array(g)["text"])
+    assert spark.read.json(api.to_jsonl(g, str(tmp_path / "jsonl"))).count() == api.records(g).count()
+    assert [p for _, p, _ in api.iter_pages(g)] == [0, 1] and [r["metadata"]["page"] for r in api.iter_texts(g, "-1,0-")] == [1, 0, 1]
+    assert [r.pages for r in api.page_count(g).collect()] == [2]
     for bad in (lambda: api.records(g, "no"), lambda: api.export(g, "no"), lambda: api.get_text(g, "no"), lambda: api.get_text(g, sort="no")):
         with pytest.raises(ValueError):
             bad()
+
+
+def test_lines_from_right_to_left(spark):
+    rows = [(1, 0, 100 * y + k, c, 10.0 + 6 * k, 20.0 + 12 * y, 16.0 + 6 * k, 20.0 + 12 * y, 1.0, 0.0, 10.0, "Serif", 0) for y, line in enumerate(("םולש", "זופת")) for k, c in enumerate(line)]
+    g = spark.createDataFrame(rows, "doc long, page int, gidx long, c string, px double, py double, qx double, qy double, dx double, dy double, size double, font string, color long")
+    assert api.get_text(g).first().text.split() == ["שלום", "תפוז"]

@@ -107,3 +107,15 @@ def test_incremental_files(spark, tmp_path):
     q = out.writeStream.format("memory").queryName("pdf_pages").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.sql("SELECT * FROM pdf_pages").count() == 2
+
+
+def test_odd_files_are_reported(spark):
+    """Wrong kinds of values where a file has something else: no other file suffers."""
+    odd = {k: sample().replace(b"/Type /Page ", b"/Type /Page " + k + b" ").replace(b"/Type/Page/", b"/Type/Page" + k + b"/") for k in (b"/Annots 5", b"/Rotate [0]")}
+    files = spark.createDataFrame([("good", bytearray(sample())), *((k.decode(), bytearray(v)) for k, v in odd.items()), ("none", bytearray(b"no file"))], "path string, content binary")
+    words = pdf.read_pdf(files).select("path").distinct()
+    assert "good" in {r.path for r in words.collect()}
+    said = {r.path for r in pdf.read_pdf(files, "errors").collect()}
+    assert "good" not in said and "none" in said
+    for name in pdf.RELATIONS:
+        pdf.read_pdf(files, name).collect()
