@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_substrings": fmindex.OP8_SQL}
+    return {"op8_substrings": fmindex.OP8_SQL, "op9_suffixes": suffixes.OP9_SQL}

@@ -226,3 +226,18 @@ def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n, removed, count)), pa.array(digest, pa.string())], names=schema.names)
 
     return marked.mapInArrow(runtime.trimmed(run), schema)
+
+
+#: The same rows in DuckDB. Texts are in hex, cut into pieces that hold 400 windows each, so that a window costs its piece.
+OP9_SQL = r"""
+WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+chunks AS (SELECT doc_id, k, len(x) // 2 AS n, x[800 * k + 1 : 800 * k + 1600] AS c FROM (SELECT doc_id, x, unnest(range(0, len(x) // 800)) AS k FROM texts)),
+windows AS (SELECT doc_id, 400 * k + j AS i, md5(c[2 * j + 1 : 2 * j + 800]) AS h FROM (SELECT doc_id, k, c, unnest(range(0, least(400, n - 399 - 400 * k))) AS j FROM chunks)),
+repeated AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY h) > 1),
+steps AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER w + 400 THEN 0 ELSE 1 END AS first FROM repeated WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+numbered AS (SELECT doc_id, i, sum(first) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM steps),
+runs AS (SELECT doc_id, run, min(i) AS a, max(i) + 400 AS b FROM numbered GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, run, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM runs),
+cut AS (SELECT doc_id, count(*) AS n, sum(b - a) AS removed, max(b) AS last, string_agg(x[2 * before + 1 : 2 * a], '' ORDER BY a) AS head FROM gaps JOIN texts USING (doc_id) GROUP BY doc_id)
+SELECT texts.doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(head, '') || x[2 * coalesce(last, 0) + 1 :])) AS kept_sha256 FROM texts LEFT JOIN cut ON texts.doc_id = cut.doc_id
+"""

@@ -1,10 +1,11 @@
 import hashlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from papyrine.llm import anchors, fmindex, suffixes
+from papyrine.llm import anchors, fmindex, registry, suffixes
 from papyrine.llm.anchors import Bytes, Words
 
 
@@ -142,6 +143,19 @@ def test_queries(spark, tmp_path):
     assert fmindex.dedup(df.where(F.lit(False))).count() == 0
 
 
+@pytest.mark.parametrize("name", ["op8_substrings", "op9_suffixes"])
+def test_sql(spark, tmp_path, name):
+    wide = "".join(chr(0x3B1 + k % 24) + chr(0x4E00 + k * k % 997) for k in range(200))  # no white space, 2 and 3 bytes
+    t = [*texts(), None, "", wide, "x" + wide[:150], wide[3:] + "y", "a" * 400, "a" * 401]
+    spark.createDataFrame(list(enumerate(t)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = db.execute(registry.oracle_sql()[name])
+    names = [d[0] for d in want.description]
+    rows = registry.queries()[name](spark, str(tmp_path)).select(*names).collect()
+    assert sorted(tuple(r) for r in rows) == sorted(want.fetchall())
+
+
 @pytest.mark.parametrize("limit", [0, 150, 1 << 20])
 def test_counted_join(spark, monkeypatch, limit):
     monkeypatch.setattr("papyrine.llm.runtime.BROADCAST_BYTES", limit)
