@@ -116,6 +116,13 @@ def test_merge_rules(spark):
     assert got == [(1, False, 10.0, 0.0, 9.0), (1, True, 10.0, 0.0, 80.0), (1, True, 10.0, 100.0, 120.0), (1, True, 30.0, 0.0, 5.0)]
 
 
+def test_hints_of_rows_in_one_place(spark):
+    rows = [(1, 1, False), (1, 2, True), (1, 2, False), (1, 2, False), (1, 3, False), (1, 4, True)]
+    for own in (rows, rows[::-1]):
+        got = layout.carry_hint(spark.createDataFrame(own, "line int, place int, generated boolean").coalesce(1), ["line"], ["place"]).collect()
+        assert sorted((r.place, r.hint) for r in got) == [(1, False), (2, False), (2, False), (3, True)]
+
+
 def test_search_over_lines(spark):
     rows = []
     for k, c in enumerate("onetwo"):
