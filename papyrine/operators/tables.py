@@ -65,12 +65,16 @@ def grid(h: list, v: list) -> tuple[list[float], list[float], list[tuple[int, in
     return xs, ys, cells
 
 
+def large_enough(xs: list[float], ys: list[float]) -> bool:
+    return len(xs) >= 2 and len(ys) >= 2 and xs[-1] - xs[0] >= LEAST_WIDTH and ys[-1] - ys[0] >= LEAST_HEIGHT
+
+
 def page_tables(rules: list[tuple], words: list[tuple]) -> list[tuple]:
     """Rows (table, row, col, rowspan, colspan, x0, y0, x1, y1, text) from rules and words (x0, y0, x1, y1, text)."""
     found = []
     for h, v in regions(rules):
         xs, ys, cells = grid(h, v)
-        if len(xs) < 2 or len(ys) < 2 or xs[-1] - xs[0] < LEAST_WIDTH or ys[-1] - ys[0] < LEAST_HEIGHT:
+        if not large_enough(xs, ys):
             continue
         owner = {(i, j): k for k, (r, c, high, wide) in enumerate(cells) for i in range(r, r + high) for j in range(c, c + wide)}
         texts: dict[int, list] = {}
