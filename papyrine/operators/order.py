@@ -24,13 +24,13 @@ def rows_by_tolerance(blocks: DataFrame, tolerance: float = 1.25) -> DataFrame:
 
 def by_rank(blocks: DataFrame) -> DataFrame:
     """Blocks with a rank (from a tagged structure) are permuted among their own slots; the others keep theirs."""
-    tagged = F.col("rank").isNotNull()
-    slot = Window.partitionBy("doc", "page", tagged).orderBy("block")
-    rank = Window.partitionBy("doc", "page", tagged).orderBy("rank", "block")
-    numbered = blocks.withColumn("_slot", F.row_number().over(slot)).withColumn("_rank", F.row_number().over(rank))
-    slots = numbered.where("rank is not null").select("doc", "page", F.col("_slot").alias("_rank"), F.col("block").alias("place"))
-    moved = numbered.where("rank is not null").join(slots, ["doc", "page", "_rank"]).drop("_slot", "_rank")
-    return moved.unionByName(numbered.where("rank is null").withColumn("place", F.col("block")).drop("_slot", "_rank"))
+    rest = [c for c in blocks.columns if c not in ("doc", "page", "rank", "block")]
+    row, tagged = F.struct("rank", "block", *rest), F.col("rank").isNotNull()
+    pages = blocks.groupBy("doc", "page").agg(
+        F.array_sort(F.collect_list(F.when(tagged, row))).alias("moved"), F.array_sort(F.collect_list(F.when(tagged, F.col("block")))).alias("slots"), F.collect_list(F.when(~tagged, row)).alias("others")
+    )
+    placed = F.concat(F.zip_with("moved", "slots", lambda r, s: F.struct(r.alias("r"), s.alias("place"))), F.transform("others", lambda r: F.struct(r.alias("r"), r["block"].alias("place"))))
+    return pages.select("doc", "page", F.explode(placed).alias("x")).select("doc", "page", "x.r.*", "x.place").select(*blocks.columns, "place")
 
 
 def xy_cut(blocks: DataFrame, gap_x: float = 12.5, gap_y: float = 2.0, rtl: bool = False) -> DataFrame:
