@@ -156,3 +156,34 @@ def test_keep_one_ids(spark):
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, source string"))
     got = sorted(((r.doc_id, r.text.strip()) for r in kept.collect()), key=str)
     assert got == sorted([(None, a), (None, b), (7, c), (7, d), (9, e)], key=str)
+
+
+def test_keep_one_in_parts(spark, monkeypatch):
+    """Texts are not shuffled, also where what is joined to them is too large for one broadcast."""
+    monkeypatch.setattr(simhash.runtime, "BROADCAST_BYTES", 200)
+    rng = np.random.default_rng(35)
+    texts = [" ".join("w%d" % x for x in rng.integers(0, 5000, 60)) for _ in range(100)]
+    texts += [t + " more" for t in texts[:60]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = simhash.keep_one(df)
+        assert "hashpartitioning" not in kept._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.doc_id for r in kept.collect()) == list(range(100))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_sketches_rule_out_pairs():
+    rng = np.random.default_rng(36)
+    ruled_out = 0
+    for _ in range(2000):
+        own = np.unique(rng.integers(0, 1 << 62, int(rng.integers(1, 600))).astype(np.uint64))
+        new = rng.integers(0, 1 << 62, int(rng.integers(0, 60))).astype(np.uint64)
+        other = np.unique(np.concatenate([own[int(rng.integers(0, len(own))) :], new]))
+        both = len(np.intersect1d(own, other))
+        similar = 5 * both >= 4 * (len(own) + len(other) - both)
+        found = simhash.possible(simhash.sketch(own), simhash.sketch(other), len(own) + len(other))
+        assert found or not similar
+        ruled_out += not found
+    assert ruled_out > 1000
