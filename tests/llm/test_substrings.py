@@ -165,3 +165,32 @@ def test_counted_join(spark, monkeypatch, limit):
 
     got = attach_counted(big, small, ["a"], 7, 100, often=20)
     assert sorted(tuple(r) for r in got.select("a", "b", "x").collect()) == sorted((a, b, 2 * a) for a, b in ((k % 7 if k < 60 else 9, k) for k in range(100)) if a != 3)
+
+
+def test_texts_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(anchors.runtime, "BROADCAST_BYTES", 1000)
+    rows = list(enumerate(texts(21)[:40]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute([(t or "").split() for _, t in rows], 35)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = anchors.with_spans(df, Words, fmindex.judge, 5000, "s")
+        assert "hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+        got = {r.doc_id: {k for a, b in anchors.unpack(r.s).tolist() for k in range(a, b)} for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == dict(enumerate(want)) and any(want)
+
+
+def test_contents_are_dealt_once(spark, monkeypatch):
+    """Each content with all its copies and a body, though most rows have none, after a single exchange."""
+    monkeypatch.setattr(anchors, "ROWS", 7)
+    rng = np.random.default_rng(22)
+    rows = [(int(r), int(r * 10 + c), b"%d" % c if k % 5 == 0 else None) for k, (r, c) in enumerate(rng.integers(0, 6, (300, 2)))]
+    rows += [(r, c, b"%d" % (c % 10)) for r, c in {x[:2] for x in rows}]
+    found = spark.createDataFrame(rows, "route long, content long, body binary").repartition(3)
+    out = anchors.contents_of(found)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    got = {(r.route, r.content): (r.copies, bytes(r.body)) for r in out.collect()}
+    assert got == {(r, c): (sum(x[:2] == (r, c) for x in rows), b"%d" % (c % 10)) for r, c, _ in rows}
+    assert out.rdd.glom().map(lambda p: {x.route for x in p}).map(len).sum() == len({x[0] for x in rows})
