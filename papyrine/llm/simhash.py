@@ -26,6 +26,8 @@ from papyrine.llm.components import connected_components
 from papyrine.llm.runtime import attach, attach_parts, materialize, release
 
 MAX_BITS = 2
+#: Hashes whose bits are counted at a time, and documents that are hashed at a time.
+PIECE, DOCS = 1 << 14, 100
 #: Fingerprints of a cell that are compared with each other; larger cells go another, exact way.
 CELL = 64
 SEED = 42
@@ -46,28 +48,38 @@ def shingle_hashes(text: str | None, width: int) -> list[int]:
     line = b" ".join(words)
     if n <= width:
         return [xx(line, SEED)]
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
-    starts = (ends[: n - width + 1] - np.fromiter(map(len, words[: n - width + 1]), np.int64, n - width + 1) - 1).tolist()
+    sizes = np.fromiter(map(len, words), np.int64, n)
+    del words
+    ends = np.cumsum(sizes + 1)
+    starts = (ends[: n - width + 1] - sizes[: n - width + 1] - 1).tolist()
     return [xx(line[a:b], SEED) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)]
 
 
-def fingerprints(hashes: list[list[int]]) -> np.ndarray:
+def fingerprints(hashes: list[np.ndarray]) -> np.ndarray:
     """A bit is 1 if it is set in over half the shingle hashes of a text."""
     counts = np.fromiter(map(len, hashes), np.int64, len(hashes))
     out = np.zeros(len(hashes), np.uint64)
     full = np.flatnonzero(counts)
+    total = np.cumsum(counts[full])
     at = 0
-    while at < len(full):  # a few hundred thousand hashes at a time, 64 bytes each
-        to = at + max(1, int(np.searchsorted(np.cumsum(counts[full[at:]]), 300_000)))
+    while at < len(full):  # PIECE hashes at a time, some 400 bytes each; a longer text by itself
+        to = max(at + 1, int(np.searchsorted(total, total[at] - counts[full[at]] + PIECE, side="right")))
         own = full[at:to]
-        flat = np.fromiter((h for k in own for h in hashes[k]), np.uint64, int(counts[own].sum()))
-        bits = np.unpackbits(flat.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        starts = np.cumsum(counts[own]) - counts[own]
-        out[own] = _majority(np.add.reduceat(bits, starts, axis=0, dtype=np.uint32), counts[own])
+        if to == at + 1:
+            h = np.asarray(hashes[own[0]], np.uint64)
+            ones = sum(_bits(h[k : k + PIECE]).sum(axis=0, dtype=np.int64) for k in range(0, len(h), PIECE))[None, :]
+        else:
+            bits = _bits(np.concatenate([np.asarray(hashes[k], np.uint64) for k in own]))
+            ones = np.add.reduceat(bits, np.cumsum(counts[own]) - counts[own], axis=0, dtype=np.uint32)
+        out[own] = _majority(ones, counts[own])
         at = to
     return out
 
 
+def _bits(h: np.ndarray) -> np.ndarray:
+    return np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+
+
 def _majority(ones: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.packbits(ones * 2 > counts[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
 
@@ -114,11 +126,11 @@ def with_fingerprint(docs: DataFrame, width: int, text_col: str = "text", column
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest as xx
 
-        for batch in batches:
-            hashes = [shingle_hashes(t, width) for t in batch.column(text_col).to_pylist()]
+        for batch in runtime.sliced(batches, DOCS):
+            hashes = [np.array(shingle_hashes(t.as_py(), width), np.uint64) for t in batch.column(text_col)]
             fp, parts = fingerprints(hashes), []
             if often is not None:
-                sets = [np.unique(np.array(h, np.uint64)) for h in hashes]
+                sets = [np.unique(h) for h in hashes]
                 node = np.array([xx(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
                 first = [prefix(x, often).view(np.int64) if len(x) else x.view(np.int64) for x in sets]
                 parts = [pa.array(node), pa.array([len(x) for x in sets], pa.int32()), pa.array(first, pa.list_(pa.int64())), pa.array([sketch(x) for x in sets], pa.binary())]
@@ -134,8 +146,8 @@ def frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     part = int((1 << 30) * min(1.0, SAMPLE / max(1, docs.count())))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(np.array(shingle_hashes(t, width), np.uint64)) for t in batch.column("text").to_pylist()]
+        for batch in runtime.sliced(batches, DOCS):
+            sets = [shingle_set(t.as_py(), width) for t in batch.column("text")]
             h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
 
@@ -346,8 +358,8 @@ def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, width: int, rep
     m = needed.count()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([shingle_set(t, width).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], names=["node", "shingles"])
+        for batch in runtime.sliced(batches, DOCS):
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([shingle_set(t.as_py(), width).tobytes() for t in batch.column("text")], pa.binary())], names=["node", "shingles"])
 
     own = attach_parts(docs.select("_row", "text"), needed, "_row", m, 32, "inner")
     own = own.dropDuplicates(["node"]) if repeats else own

@@ -187,3 +187,18 @@ def test_sketches_rule_out_pairs():
         assert found or not similar
         ruled_out += not found
     assert ruled_out > 1000
+
+
+def test_fingerprints_in_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(37)
+    hashes = [rng.integers(0, 1 << 64, n, dtype=np.uint64) for n in [0, 1, 2, 3] + [3000] * 120 + [50_000, 0, 7]]
+    tracemalloc.start()
+    got = simhash.fingerprints(hashes)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    place = np.arange(64, dtype=np.uint64)
+    want = [sum(1 << k for k in np.flatnonzero((h[:, None] >> place & np.uint64(1)).sum(0) * 2 > len(h)).tolist()) for h in hashes]
+    assert got.tolist() == want
+    assert peak < 8 << 20
