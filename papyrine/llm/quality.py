@@ -26,6 +26,8 @@ from papyrine.llm import runtime
 #: Labelled rows of the fit, preference pairs drawn from them, strength of the penalty, predicted = score >= CUT.
 MAX_ROWS, PAIRS, PENALTY, CUT = 20_000, 100_000, 30.0, 0.3
 SHAPES = 128
+#: Rows or pairs of the fit that are computed at a time; the driver has little memory.
+ROWS = 2000
 CLASSES = ["aeiouy", "bcdfghjklmnpqrstvwxz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t\r\v\f", "\n", ".", ",;:", "!", "?", "\"'`", "()[]{}<>", "|\\/_", "-+=", "#$%&*@^~"]
 
 
@@ -111,6 +113,12 @@ def _block(raw: list[bytes]) -> np.ndarray:
     return out
 
 
+def _scaled(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    z = x - mean
+    z /= scale
+    return np.clip(z, -8, 8, out=z)
+
+
 @dataclass
 class Model:
     mean: np.ndarray
@@ -120,7 +128,10 @@ class Model:
     slope: float
 
     def raw(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.mean) / self.scale, -8, 8).astype(np.float64) @ self.weights
+        out = np.zeros(len(x))
+        for k in range(0, len(x), ROWS):  # at a time, since it takes four times the memory of x
+            out[k : k + ROWS] = _scaled(x[k : k + ROWS], self.mean, self.scale).astype(np.float64) @ self.weights
+        return out
 
     def score(self, x: np.ndarray) -> np.ndarray:
         z = self.slope * (self.raw(x) - self.cut) + np.log(CUT / (1 - CUT))
@@ -136,14 +147,14 @@ def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, penalty: float = PENAL
     if not len(good) or not len(bad):
         model.cut = 0.0 if len(good) or not len(bad) else 1.0
         return model
-    z = np.clip((x - mean) / scale, -8, 8)
+    z = _scaled(x, mean, scale)
     rng = np.random.default_rng(seed)
     a, b = rng.choice(good, pairs), rng.choice(bad, pairs)
     w = model.weights
     for _ in range(12):
         slope, curve = penalty * w, penalty * np.eye(len(w))
-        for k in range(0, pairs, 10_000):
-            d = (z[a[k : k + 10_000]] - z[b[k : k + 10_000]]).astype(np.float64)
+        for k in range(0, pairs, ROWS):
+            d = (z[a[k : k + ROWS]] - z[b[k : k + ROWS]]).astype(np.float64)
             p = 1 / (1 + np.exp(-np.clip(d @ w, -30, 30)))
             slope -= d.T @ (1 - p)
             curve += (d * (p * (1 - p))[:, None]).T @ d
@@ -152,6 +163,7 @@ def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, penalty: float = PENAL
         if np.abs(step).max() < 1e-4:
             break
     model.weights = w
+    del z
     s = model.raw(x)
     order = np.sort(s)
     model.cut = float(order[len(bad) - 1] + order[len(bad)]) / 2  # the quantile at the share of label 0
@@ -185,7 +197,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("label"), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "label", "x"])
 
     rows = picked.mapInArrow(runtime.trimmed(blocks), schema).toArrow().sort_by("doc_id")
-    x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float16).reshape(-1, WIDTH).astype(np.float32)
+    x = np.zeros((rows.num_rows, WIDTH), np.float32)
+    for k, own in enumerate(rows["x"]):
+        x[k] = np.frombuffer(own.as_buffer(), np.float16)
     return x, rows["label"].to_numpy()
 
 

@@ -70,3 +70,19 @@ def test_preferences_are_learnt():
     m = quality.fit(x, y, pairs=4000, penalty=1.0)
     assert ((m.score(x) >= quality.CUT) == (y == 1)).mean() > 0.97
     assert m.weights[0] > 0 > m.weights[1] and abs(m.weights[2]) < 0.3 * m.weights[0]
+
+
+def test_fit_in_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(8)
+    x, y = rng.random((6000, quality.WIDTH), np.float32), np.arange(6000) % 2
+    x[:, 0] += y
+    tracemalloc.start()
+    model = quality.fit(x, y, pairs=12_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * x.nbytes + (30 << 20)
+    assert ((model.raw(x) >= model.cut) == y).mean() > 0.9
+    whole = np.clip((x - model.mean) / model.scale, -8, 8).astype(np.float64) @ model.weights
+    assert np.abs(model.raw(x) - whole).max() < 1e-9
